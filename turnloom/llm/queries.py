@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from turnloom.llm.encode import encode_corpus
+from turnloom.llm.lookalike import consistent_form, same_reading_pairs
 from turnloom.session import table
 
 
@@ -14,8 +15,16 @@ def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_reading_pairs(table(spark, sf_dir, "documents"))
+
+
+def p7_consistent_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistent_form(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_ids,)}
+    return {f.__name__: f for f in (p5_ids, p7_found, p7_consistent_form)}
 
 
 def oracle_sql() -> dict[str, str]:
