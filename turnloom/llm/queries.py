@@ -5,12 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnloom.llm.encode import encode_corpus
 from turnloom.llm.lookalike import consistent_form, same_reading_pairs
+from turnloom.llm.leak import leaked_items
+from turnloom.llm.records import article_texts
 from turnloom.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "eval_items")
+    questions = leaked_items(table(spark, sf_dir, "qa_sample"), items, "qa_id", "question")
+    articles = leaked_items(article_texts(table(spark, sf_dir, "en_article_tail500")), items, "art_id", "text")
+    return questions.select(F.lit("qa_sample").alias("src"), F.col("qa_id").alias("rec_id"), "item_id").unionByName(
+        articles.select(F.lit("en_article_tail500").alias("src"), F.col("art_id").alias("rec_id"), "item_id")
+    )
+
+
 def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -24,7 +36,7 @@ def p7_consistent_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_ids, p7_found, p7_consistent_form)}
+    return {f.__name__: f for f in (p3_found, p5_ids, p7_found, p7_consistent_form)}
 
 
 def oracle_sql() -> dict[str, str]:
