@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once for each application: they needn't have it installed, nor share
+    the driver's module path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("turnloom", os.path.relpath(path, root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="turnloom-"), "turnloom.zip")  # the driver serves it to the executors
+    with open(path, "wb") as f:
+        f.write(body.getvalue())
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
