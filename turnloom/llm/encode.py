@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from turnloom.llm.batches import text_chunks
+from turnloom.session import map_batches
 
 #: Where the vocabulary files are; a parameter of every function that needs one.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -250,4 +251,4 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", out:
             offsets, ids = bpe.encode_batch(chunk.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([chunk.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=[key, out])
 
-    return docs.select(docs[key], docs[text]).mapInArrow(run, f"`{key}` {kind}, `{out}` array<int>")
+    return map_batches(docs.select(docs[key], docs[text]), run, f"`{key}` {kind}, `{out}` array<int>")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.batches import text_chunks
+from turnloom.session import map_batches
 
 #: (k, w) of the winnowing by unit; spans of k + w - 1 units are guaranteed.
 WORDS, CHARS = (5, 6), (9, 10)
@@ -180,6 +181,6 @@ def leaked_items(records: DataFrame, items: DataFrame, key: str, text: str, item
                 t, i = shared.value.hits(chunk.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([chunk.column(0).take(pa.array(t)), pa.array(i)], names=[key, item])
 
-        part = source.mapInArrow(run, f"`{key}` {kind}, `{item}` bigint")
+        part = map_batches(source, run, f"`{key}` {kind}, `{item}` bigint")
         out = part if out is None else out.unionByName(part)
     return out.distinct()

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.batches import text_chunks
+from turnloom.session import cut, map_batches
 
 # Letters of the same shape, other scripts on the left of each pair.
 SAME_SHAPE = (
@@ -178,7 +179,7 @@ def member_counts(docs: DataFrame, text: str, classes: dict[str, list[str]]) ->
             rows = [(chr(cp), int(total[cp])) for cp in singles if total[cp]] + [(s, n) for s, n in multi.items() if n]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["member", "n"])
 
-    rows = docs.select(docs[text]).mapInArrow(run, "member string, n bigint").groupBy("member").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(docs.select(docs[text]), run, "member string, n bigint").groupBy("member").agg(F.sum("n").alias("n")).collect()
     return {r.member: r.n for r in rows}
 
 
@@ -197,7 +198,7 @@ def consistent_form(docs: DataFrame, key: str = "doc_id", text: str = "text", ou
         for chunk in text_chunks(batches, 1):
             yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([None if t is None else rewrite(t) for t in chunk.column(1).to_pylist()], pa.string())], names=[key, out])
 
-    return docs.select(docs[key], docs[text]).mapInArrow(run, f"`{key}` {kind}, `{out}` string")
+    return map_batches(docs.select(docs[key], docs[text]), run, f"`{key}` {kind}, `{out}` string")
 
 
 def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -215,7 +216,7 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     raws.append(digest(t.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([chunk.column(0).take(pa.array(keep, pa.int64())), pa.array(forms, pa.binary()), pa.array(raws, pa.binary())], names=["id", "form", "raw"])
 
-    return docs.select(docs[key], docs[text]).mapInArrow(run, f"id {kind}, form binary, raw binary")
+    return map_batches(docs.select(docs[key], docs[text]), run, f"id {kind}, form binary, raw binary")
 
 
 def same_reading_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,8 +226,6 @@ def same_reading_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text")
     forms with several variants are joined, variant with variant, and the ids come back last.  Rows with a null key,
     a null text or nothing visible take no part; a key given twice counts once.
     """
-    from turnloom.session import cut
-
     rows = cut(_signatures(docs, key, text).where("id is not null"))
     variants = rows.select("form", "raw").distinct()
     several = variants.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")

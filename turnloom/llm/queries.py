@@ -10,10 +10,22 @@ from pyspark.sql import functions as F
 from turnloom.llm.encode import encode_corpus
 from turnloom.llm.lookalike import consistent_form, same_reading_pairs
 from turnloom.llm.leak import leaked_items
-from turnloom.llm.records import article_texts
+from turnloom.llm.neardup import near_pairs
+from turnloom.llm.records import article_texts, human_text
 from turnloom.session import table
 
 
+def _short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions and the human turns: ``src``, ``id``, ``text``."""
+    q = table(spark, sf_dir, "qa_sample").select(F.lit("qa_sample").alias("src"), F.col("qa_id").alias("id"), F.col("question").alias("text"))
+    c = table(spark, sf_dir, "toolcall_dpo_zh_demo").select(F.lit("toolcall_dpo_zh_demo").alias("src"), F.col("pref_id").alias("id"), human_text().alias("text"))
+    return q.unionByName(c)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(_short_texts(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "eval_items")
     questions = leaked_items(table(spark, sf_dir, "qa_sample"), items, "qa_id", "question")
@@ -36,7 +48,7 @@ def p7_consistent_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p5_ids, p7_found, p7_consistent_form)}
+    return {f.__name__: f for f in (p1_found, p3_found, p5_ids, p7_found, p7_consistent_form)}
 
 
 def oracle_sql() -> dict[str, str]:
