@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm.encode import encode_corpus
 from turnloom.llm.lookalike import consistent_form, same_reading_pairs
+from turnloom.llm.langid import document_languages, fit_languages, label_defects, language_segments
 from turnloom.llm.leak import leaked_items
 from turnloom.llm.neardup import near_pairs
 from turnloom.llm.records import article_texts, human_text
@@ -26,6 +28,29 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(_short_texts(spark, sf_dir))
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, DataFrame]]:
+    """Source, key and rows with ``text`` and ``lang`` of all records with a language label."""
+    turns = table(spark, sf_dir, "toolcall_dpo_zh_demo").select("pref_id", human_text().alias("text"), "lang")
+    articles = article_texts(table(spark, sf_dir, "en_article_tail500"))
+    return [("toolcall_dpo_zh_demo", "pref_id", turns), ("en_article_tail500", "art_id", articles), ("documents", "doc_id", table(spark, sf_dir, "documents"))]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_languages(table(spark, sf_dir, "lang_reference"))
+    parts = [label_defects(rows, model, key, "text", "lang").select(F.lit(src).alias("src"), F.col(key).alias("rec_id"), "kind", "lang") for src, key, rows in _labelled(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_languages(table(spark, sf_dir, "lang_reference"))
+    return document_languages(table(spark, sf_dir, "documents"), model, "doc_id", "text")
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_languages(table(spark, sf_dir, "lang_reference"))
+    return language_segments(table(spark, sf_dir, "documents"), model, "doc_id", "text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "eval_items")
     questions = leaked_items(table(spark, sf_dir, "qa_sample"), items, "qa_id", "question")
@@ -48,7 +73,7 @@ def p7_consistent_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p5_ids, p7_found, p7_consistent_form)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_languages, p2_segments, p3_found, p5_ids, p7_found, p7_consistent_form)}
 
 
 def oracle_sql() -> dict[str, str]:
