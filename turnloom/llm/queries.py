@@ -13,7 +13,8 @@ from turnloom.llm.lookalike import consistent_form, same_reading_pairs
 from turnloom.llm.langid import document_languages, fit_languages, label_defects, language_segments
 from turnloom.llm.leak import leaked_items
 from turnloom.llm.neardup import near_pairs
-from turnloom.llm.records import article_texts, human_text
+from turnloom.llm.pairs import broken_replies, fit_endings
+from turnloom.llm.records import article_texts, human_text, last_human_turn
 from turnloom.session import table
 
 
@@ -60,6 +61,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qa, tc = table(spark, sf_dir, "qa_sample"), table(spark, sf_dir, "toolcall_dpo_zh_demo")
+    model = fit_languages(table(spark, sf_dir, "lang_reference"))
+    asked = [F.lit("qa_sample").alias("src"), F.col("qa_id").alias("rec_id"), F.lit("answer").alias("fld"), F.col("question").alias("prompt"), F.col("answer").alias("reply")]
+    both = F.explode(F.array(*(F.struct(F.lit(c).alias("fld"), F.col(c).alias("reply")) for c in ("chosen", "rejected"))))
+    turns = tc.select(F.col("pref_id").alias("rec_id"), last_human_turn().alias("prompt"), both.alias("x")).select("rec_id", "x.fld", "prompt", "x.reply")
+    replies = qa.select(F.col("qa_id").alias("rec_id"), F.col("answer").alias("reply")).unionByName(turns.select("rec_id", "reply"))
+    endings = fit_endings(replies, "rec_id", "reply")
+    answers = broken_replies(qa.select(*asked[1:]), endings, model).withColumn("src", F.lit("qa_sample"))
+    chosen = broken_replies(turns, endings, model).withColumn("src", F.lit("toolcall_dpo_zh_demo"))
+    return answers.unionByName(chosen).select("src", "rec_id", "fld", "defect")
+
+
 def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -73,7 +87,7 @@ def p7_consistent_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_languages, p2_segments, p3_found, p5_ids, p7_found, p7_consistent_form)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_languages, p2_segments, p3_found, p4_found, p5_ids, p7_found, p7_consistent_form)}
 
 
 def oracle_sql() -> dict[str, str]:
