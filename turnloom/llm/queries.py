@@ -13,6 +13,7 @@ from turnloom.llm.lookalike import consistent_form, same_reading_pairs
 from turnloom.llm.langid import document_languages, fit_languages, label_defects, language_segments
 from turnloom.llm.leak import leaked_items
 from turnloom.llm.neardup import near_pairs
+from turnloom.llm.packing import container_report, pack, token_counts
 from turnloom.llm.pairs import broken_replies, fit_endings
 from turnloom.llm.records import article_texts, human_text, last_human_turn
 from turnloom.session import table
@@ -78,6 +79,14 @@ def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_counts(table(spark, sf_dir, "documents")))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container_report(p6_pack(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_reading_pairs(table(spark, sf_dir, "documents"))
 
@@ -87,7 +96,7 @@ def p7_consistent_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_languages, p2_segments, p3_found, p4_found, p5_ids, p7_found, p7_consistent_form)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_languages, p2_segments, p3_found, p4_found, p5_ids, p6_pack, p6_containers, p7_found, p7_consistent_form)}
 
 
 def oracle_sql() -> dict[str, str]:
