@@ -152,7 +152,7 @@ class Sentences:
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """(sentence, dimension) of every n-gram of a sentence with letters."""
         c, of = self.codes, self.of
-        out_s, out_d = [], []
+        out_s, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n in (1, 2, 3):
             if len(c) < n:
                 continue
@@ -268,7 +268,7 @@ class Judged:
         # a whole sentence: enough words, or enough characters where words aren't apart
         self.whole = (self.lang >= 0) & ((s.words >= 4) & (s.letters >= LETTERS) & (s.wide * 4 < s.letters) | (s.wide >= 8) & (s.wide * 2 > s.letters))
 
-    def per_text(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def per_text(self, least: int = LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text: its language (-1 if it is far from all), the languages with a whole sentence, its letters,
         and the confidence.  The language is the only one with a whole sentence, or the one nearest to all
         sentences together, by their letters."""
@@ -276,9 +276,10 @@ class Judged:
         weight = self.near * s.letters[:, None]
         near = np.stack([np.bincount(s.text, weight[:, k], self.texts) for k in range(n)], 1)
         total = np.bincount(s.text, s.letters, self.texts)
+        self.nearness = near
         main = np.argmax(near, 1)
         top, second = near[np.arange(self.texts), main], np.partition(near, -2, axis=1)[:, -2]
-        main = np.where((total >= LETTERS) & (top >= FAR * total), main, -1)
+        main = np.where((total >= least) & (total > 0) & (top >= FAR * total), main, -1)
         whole = np.bincount(s.text[self.whole] * n + self.lang[self.whole], minlength=self.texts * n).reshape(-1, n) > 0
         one = (main >= 0) & (whole.sum(1) == 1)
         main = np.where(one, np.argmax(whole, 1), main)
