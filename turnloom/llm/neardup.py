@@ -3,11 +3,11 @@
 Likeness is the Jaccard index of the sets of three-character sequences of the
 lower-cased letters and digits.  The steps:
 
-1. Every text becomes a 256-bit parity sketch (bit b is the parity of the
-   sequences that hash to b) and, from min-hashes taken two at a time, a few
+1. Every text becomes a parity sketch (bit b is the parity of the sequences
+   that hash to b) of 256 bits, or of more, in proportion to the set, and, from min-hashes taken two at a time, a few
    block keys.  Texts of likeness s miss a common block with probability
    (1 - s^2)^bands: 0.2 % at 0.6 with the 14 bands set here, 0.05 % at 0.65,
-   1e-5 at 0.75; the tests measure the recall against brute force.
+   0.001 % at 0.75; the tests measure the recall against brute force.
 2. Within a block, tiles of sketches are compared exactly with exclusive-or and
    bit counts.  Sets of likeness t or more differ in at most
    (1-t)/(1+t) * (|a|+|b|) members, and sketches never differ in more bits than
@@ -43,7 +43,11 @@ from turnloom.session import cut, map_batches
 BANDS, ROWS = 14, 2
 #: Rows of a tile: blocks up to this size are compared where they are.
 TILE = 4096
-WORDS = 4
+#: Words of the narrowest and the widest sketch, the largest set for the narrowest, and the set size that a word of
+#: all others is for.
+WORDS, WIDEST, NARROW, PER_WORD = 4, 64, 144, 24
+#: Candidate texts up to this number (16 bytes each) are sent to all executors to pick the texts by; more are joined.
+SEND_ROWS = 1_000_000
 _U = np.uint64
 _LOW44 = _U((1 << 44) - 1)
 
@@ -52,6 +56,14 @@ def _multipliers(n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
+def width(size: int) -> int:
+    """Words of the sketch of a set: a power of two, so that a wide sketch folds to a narrow one by exclusive-or."""
+    n = WORDS
+    while size > NARROW and size > PER_WORD * n and n < WIDEST:
+        n *= 2
+    return n
+
+
 def radius(t: float, total: np.ndarray) -> np.ndarray:
     """How many members two sets of likeness t can differ in, from the sum of their sizes."""
     return np.floor((1 - t) / (1 + t) * total + 1e-9)
@@ -83,8 +95,15 @@ class Sketches:
         first = np.searchsorted(of, self.place)
         self.size = np.diff(np.append(first, len(of)))
         bit = _U(1) << (grams & _U(63))
-        word = grams >> _U(6) & _U(WORDS - 1)
-        self.sketch = [np.bitwise_xor.reduceat(np.where(word == _U(w), bit, _U(0)), first) for w in range(WORDS)]
+        word = (grams >> _U(6)).astype(np.int64)
+        self.sketch = [np.bitwise_xor.reduceat(np.where(word & WORDS - 1 == w, bit, _U(0)), first) for w in range(WORDS)]
+        self.wide: list[bytes | None] = [None] * len(self.place)
+        ends = np.append(first, len(of))
+        for k in np.flatnonzero(self.size > NARROW).tolist():
+            n = width(int(self.size[k]))
+            own = np.zeros(n, np.uint64)
+            np.bitwise_xor.at(own, word[ends[k] : ends[k + 1]] & n - 1, bit[ends[k] : ends[k + 1]])
+            self.wide[k] = own.tobytes()
         spread = mixed(grams)
         low = [np.minimum.reduceat(spread * a ^ (spread >> _U(7)), first) for a in _multipliers(bands * ROWS)]
         own = _U(xxhash.xxh64_intdigest(salt))
@@ -128,9 +147,10 @@ def _blocks(docs: DataFrame, bands: int) -> DataFrame:
                 a, b = _halves([digests[k] for k in new])
                 b = (b & ~_U(0xFFFFFF)) | np.minimum(s.size[pick], 0xFFFFFF).astype(np.uint64)
                 fixed = [np.tile(x, bands) for x in (a, b, *(w[pick] for w in s.sketch))]
-                yield pa.RecordBatch.from_arrays([_signed(x) for x in (np.concatenate([k[pick] for k in s.keys]), *fixed)], names=_BLOCK)
+                wide = pa.array([s.wide[k] for k in new] * bands, pa.binary())
+                yield pa.RecordBatch.from_arrays([*(_signed(x) for x in (np.concatenate([k[pick] for k in s.keys]), *fixed)), wide], names=[*_BLOCK, "wide"])
 
-    return map_batches(docs.select("src", "text"), run, ", ".join(f"{c} bigint" for c in _BLOCK))
+    return map_batches(docs.select("src", "text"), run, ", ".join(f"{c} bigint" for c in _BLOCK) + ", wide binary")
 
 
 _BLOCK = ["key", "da", "db", *(f"w{i}" for i in range(WORDS))]
@@ -144,30 +164,87 @@ def _by_source(chunk: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
         yield src, chunk.filter(pc.equal(chunk.column(0), src))
 
 
+class Rows:
+    """Texts of blocks: two digest words, the words of the narrow sketch, and the wide sketches where there are."""
+
+    def __init__(self, key: np.ndarray, fixed: np.ndarray, wide: np.ndarray):
+        self.key, self.fixed, self.wide = key, fixed, wide
+        self.size = (fixed[:, 1] & _U(0xFFFFFF)).astype(np.int64)
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, key: int, first: int, wide: int) -> Rows:
+        columns = [batch.column(k).to_numpy().view(np.uint64) for k in range(first, first + 2 + WORDS)]
+        return cls(batch.column(key).to_numpy().view(np.uint64), np.stack(columns, 1), np.array(batch.column(wide).to_pylist() + [None], object)[:-1])
+
+    @classmethod
+    def none(cls) -> Rows:
+        return cls(np.zeros(0, np.uint64), np.zeros((0, 2 + WORDS), np.uint64), np.zeros(0, object))
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def __getitem__(self, pick) -> Rows:
+        return Rows(self.key[pick], self.fixed[pick], self.wide[pick])
+
+    def plus(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.key, other.key]), np.concatenate([self.fixed, other.fixed]), np.concatenate([self.wide, other.wide]))
+
+    def without_copies(self) -> Rows:
+        """Rows of one key are in order of set size and digest: copies from other tasks lie next to each other."""
+        f, k = self.fixed, self.key
+        return self[np.concatenate([[True], (k[1:] != k[:-1]) | (f[1:, 0] != f[:-1, 0]) | (f[1:, 1] != f[:-1, 1])])]
+
+    def tiles(self, step: int) -> list[tuple[int, int]]:
+        """Spans of at most ``step`` rows whose sketches have one width; rows in order of set size."""
+        wide = np.array([WORDS, *(width(n) for n in np.unique(self.size).tolist())])[1 + np.searchsorted(np.unique(self.size), self.size)]
+        cuts = [0, *(np.flatnonzero(wide[1:] != wide[:-1]) + 1).tolist(), len(wide)]
+        return [(at, min(at + step, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) for at in range(a, b, step)]
+
+    def sketches(self, words: int, pick: np.ndarray | None = None) -> np.ndarray:
+        """Sketches of so many words; the rows picked must have that width or more."""
+        if words == WORDS:
+            return self.fixed[:, 2:] if pick is None else self.fixed[pick, 2:]
+        out = np.zeros((len(self.wide), words), np.uint64) if pick is None else np.zeros((len(pick), words), np.uint64)
+        for i, raw in enumerate(self.wide if pick is None else self.wide[pick]):
+            out[i] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words))
+        return out
+
+
 class Tiles:
     """Exact comparison of sketches, tile against tile."""
 
     def __init__(self, t: float):
         self.t = t
 
-    def between(self, x: np.ndarray, y: np.ndarray, same: bool, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """Places of pairs within the radius.  Rows: digest, digest, sketch words; both in order of set size."""
-        sx, sy = (x[:, 1] & _U(0xFFFFFF)).astype(np.int64), (y[:, 1] & _U(0xFFFFFF)).astype(np.int64)
-        px = np.bitwise_count(x[:, 2:]).sum(1).astype(np.int64)
-        py = np.bitwise_count(y[:, 2:]).sum(1).astype(np.int64)
+    def between(self, x: Rows, y: Rows, same: bool, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs within the radius.  Both sides are in order of set size."""
         left, right = [], []
-        for i in range(0, len(x), step):
-            a, na = x[i : i + step], sx[i : i + step]
-            for j in range(i if same else 0, len(y), step):
-                b, nb = y[j : j + step], sy[j : j + step]
+        known: dict[tuple[bool, int, int], np.ndarray] = {}
+
+        def tile(rows: Rows, second: bool, at: int, to: int, words: int) -> np.ndarray:
+            if (second, at, words) not in known:
+                if len(known) > 64:
+                    known.clear()
+                known[second, at, words] = np.ascontiguousarray(rows[at:to].sketches(words))
+            return known[second, at, words]
+
+        tx, ty = x.tiles(step), y.tiles(step)
+        for i, to_i in tx:
+            na = x.size[i:to_i]
+            for j, to_j in ty:
+                if same and j < i:
+                    continue
+                nb = y.size[j:to_j]
                 if nb[-1] < self.t * na[0] - 1e-9 or na[-1] < self.t * nb[0] - 1e-9:
                     continue
-                ca, cb = px[i : i + step], py[j : j + step]
+                words = width(int(min(na[0], nb[0])))
+                a, b = tile(x, False, i, to_i, words), tile(y, not same, j, to_j, words)
+                ca, cb = np.bitwise_count(a).sum(1).astype(np.int64), np.bitwise_count(b).sum(1).astype(np.int64)
                 most = radius(self.t, na[-1] + nb[-1])
                 if ca.min() - cb.max() > most or cb.min() - ca.max() > most:
                     continue
                 apart = np.zeros((len(a), len(b)), np.uint16)
-                for w in range(2, 2 + WORDS):
+                for w in range(words):
                     apart += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
                 ok = apart <= radius(self.t, na[:, None] + nb[None, :])
                 ok &= (na[:, None] >= self.t * nb[None, :] - 1e-9) & (nb[None, :] >= self.t * na[:, None] - 1e-9)
@@ -180,29 +257,36 @@ class Tiles:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(left), np.concatenate(right)
 
-    def within_runs(self, key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def within_runs(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of rows of one key; rows in order of key and set size.  Short runs of all keys at a time: row i
         against row i + d, for every distance d that still stays within some run; long runs by tiles."""
+        key, size = rows.key, rows.size
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.append(cuts, len(key)))
         left, right = [], []
-        for at, n in zip(cuts[length > 64].tolist(), length[length > 64].tolist(), strict=True):
+        for at, n in zip(cuts[length > 24].tolist(), length[length > 24].tolist(), strict=True):
             p, q = self.between(rows[at : at + n], rows[at : at + n], True)
             left.append(p + at)
             right.append(q + at)
         stop = np.repeat(cuts + length, length)
-        i = np.flatnonzero(np.repeat((length > 1) & (length <= 64), length))
-        size = (rows[:, 1] & _U(0xFFFFFF)).astype(np.int64)
+        i = np.flatnonzero(np.repeat((length > 1) & (length <= 24), length))
         d = 1
         while True:
             i = i[i + d < stop[i]]
             i = i[size[i] >= self.t * size[i + d] - 1e-9]  # later rows of the run are larger still
             if not len(i):
                 break
-            apart = np.bitwise_count(rows[i, 2:] ^ rows[i + d, 2:]).sum(1)
-            near = i[apart <= radius(self.t, size[i] + size[i + d])]
-            left.append(near)
-            right.append(near + d)
+            near = i[np.bitwise_count(rows.fixed[i, 2:] ^ rows.fixed[i + d, 2:]).sum(1) <= radius(self.t, size[i] + size[i + d])]
+            # sketches of large sets are wider than what has been compared so far
+            more = size[near] > NARROW
+            left.append(near[~more])
+            right.append(near[~more] + d)
+            for k in near[more].tolist():
+                words = width(int(size[k]))
+                a, b = rows.sketches(words, np.array([k])), rows.sketches(words, np.array([k + d]))
+                if np.bitwise_count(a ^ b).sum() <= radius(self.t, size[k] + size[k + d]):
+                    left.append(np.array([k]))
+                    right.append(np.array([k + d]))
             d += 1
         if not left:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -218,74 +302,66 @@ def _pairs_out(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(out), np.int64)), *(_signed(out[:, k]) for k in range(4))], names=_PAIR)
 
 
-def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
-    return np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(first, batch.num_columns)], 1)
-
-
-def _without_copies(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one key are in order of set size and digest: copies from other tasks lie next to each other."""
-    keep = np.concatenate([[True], (key[1:] != key[:-1]) | (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
-    return key[keep], rows[keep]
-
-
 def candidate_pairs(blocks: DataFrame, t: float, tile: int = TILE) -> DataFrame:
     """Digests of texts whose sketches lie within the radius."""
-    spark = blocks.sparkSession
-    names = [*_PAIR, *(f"w{i}" for i in range(WORDS))]
-    schema = ", ".join(f"{c} bigint" for c in names)
+    names = [*_PAIR, *(f"w{i}" for i in range(WORDS)), "wide"]
+    schema = ", ".join(f"{c} bigint" for c in names[:-1]) + ", wide binary"
 
     def full(batch: pa.RecordBatch) -> pa.RecordBatch:
         none = pa.nulls(batch.num_rows, pa.int64())
-        return pa.RecordBatch.from_arrays([*batch.columns, *[none] * WORDS], names=names)
+        return pa.RecordBatch.from_arrays([*batch.columns, *[none] * WORDS, pa.nulls(batch.num_rows, pa.binary())], names=names)
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of small blocks; the rows of large ones pass through with the number of their tile."""
-        tiles = Tiles(t)
-        key, rows = np.zeros(0, np.uint64), np.zeros((0, 2 + WORDS), np.uint64)
-        large, seen = None, 0
-
-        def passed(rows: np.ndarray, key: np.uint64, at: int) -> pa.RecordBatch:
-            number = np.arange(at, at + len(rows)) // tile + 1
-            cols = [pa.array(number), _signed(np.full(len(rows), key)), pa.array(np.zeros(len(rows), np.int64)), _signed(rows[:, 0]), _signed(rows[:, 1])]
-            return pa.RecordBatch.from_arrays([*cols, *(_signed(rows[:, 2 + w]) for w in range(WORDS))], names=names)
-
-        def done(key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(key):
-                p, q = tiles.within_runs(key, rows)
-                if len(p):
-                    yield full(_pairs_out(rows[p], rows[q]))
+    def passed(rows: Rows, at: int) -> pa.RecordBatch:
+        number = np.arange(at, at + len(rows)) // tile + 1
+        fixed = [_signed(rows.fixed[:, k]) for k in range(2 + WORDS)]
+        return pa.RecordBatch.from_arrays([pa.array(number), _signed(rows.key), pa.array(np.zeros(len(rows), np.int64)), *fixed, pa.array(rows.wide.tolist(), pa.binary())], names=names)
+
+    def done(rows: Rows, tiles: Tiles) -> Iterator[pa.RecordBatch]:
+        """Complete blocks: those longer than a tile are passed on, all others compared."""
+        if not len(rows):
+            return
+        cuts = np.flatnonzero(np.concatenate([[True], rows.key[1:] != rows.key[:-1]]))
+        length = np.diff(np.append(cuts, len(rows)))
+        big = length > tile
+        for at, n in zip(cuts[big].tolist(), length[big].tolist(), strict=True):
+            yield passed(rows[at : at + n], 0)
+        rows = rows[~np.repeat(big, length)]
+        if len(rows):
+            p, q = tiles.within_runs(rows)
+            if len(p):
+                yield full(_pairs_out(rows.fixed[p], rows.fixed[q]))
 
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of small blocks; the rows of large ones pass through with the number of their tile, whatever their
+        number, so that no block is held as a whole."""
+        tiles, held, large, seen = Tiles(t), Rows.none(), None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = _matrix(batch, 0)
-            key, rows = np.concatenate([key, new[:, 0]]), np.concatenate([rows, new[:, 1:]])
-            key, rows = _without_copies(key, rows)
+            held = held.plus(Rows.of(batch, 0, 1, 3 + WORDS)).without_copies()
             if large is not None:
-                n = int(np.searchsorted(key != large, True)) if key[0] == large else 0
-                n = len(key) if key[-1] == large else n
+                n = int(np.searchsorted(np.cumsum(held.key != large), 1))
                 if n:
-                    yield passed(rows[:n], large, seen)
+                    yield passed(held[:n], seen)
                     seen += n
-                    key, rows = key[n:], rows[n:]
-                if len(key):
-                    large = None
-            if not len(key):
-                continue
-            last = int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
-            yield from _large_apart(key[:last], rows[:last], tile, done, passed)
-            key, rows = key[last:], rows[last:]
-            if len(key) > tile:
-                large, seen = key[0], len(key)
-                yield passed(rows, large, 0)
-                key, rows = key[:0], rows[:0]
-        yield from _large_apart(key, rows, tile, done, passed)
-
-    ordered = blocks.repartition("key").sortWithinPartitions("key", F.col("db").bitwiseAND(0xFFFFFF), "da", "db")
+                    held = held[n:]
+                if not len(held):
+                    continue
+                large = None
+            last = int(np.flatnonzero(np.concatenate([[True], held.key[1:] != held.key[:-1]]))[-1])
+            yield from done(held[:last], tiles)
+            held = held[last:]
+            if len(held) > tile:
+                large, seen = held.key[0], len(held)
+                yield passed(held, 0)
+                held = Rows.none()
+        yield from done(held, tiles)
+
+    size = F.col("db").bitwiseAND(0xFFFFFF)
+    ordered = blocks.repartition("key").sortWithinPartitions("key", size, "da", "db")
     first = cut(map_batches(ordered, small, schema))
     pairs = first.where("kind = 0").select(*_PAIR[1:])
     rows = first.where("kind > 0").select(F.col("a0").alias("key"), F.col("kind").alias("tile"), F.col("b0").alias("da"), F.col("b1").alias("db"), *names[5:])
-    size = F.col("db").bitwiseAND(0xFFFFFF)
     spans = rows.groupBy("key", "tile").agg(F.min(size).alias("lo"), F.max(size).alias("hi"))
     if spans.isEmpty():
         return pairs.distinct()
@@ -297,45 +373,30 @@ def candidate_pairs(blocks: DataFrame, t: float, tile: int = TILE) -> DataFrame:
     laid = sides.join(rows, ["key", "tile"]).select("cell", F.col("side").cast("bigint").alias("side"), "da", "db", *names[5:])
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles, held, of = Tiles(t), [], None
+        tiles, held = Tiles(t), None
         for batch in batches:
-            new = _matrix(batch, 0)
-            for part in np.split(new, np.flatnonzero(new[1:, 0] != new[:-1, 0]) + 1):
-                if len(part) and of is not None and part[0, 0] != of:
-                    yield from crossed(tiles, held)
-                    held = []
-                if len(part):
-                    of = part[0, 0]
-                    held.append(part)
-        yield from crossed(tiles, held)
-
-    def crossed(tiles: Tiles, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        all_rows = np.concatenate(held)
-        x, y = all_rows[all_rows[:, 1] == 0][:, 2:], all_rows[all_rows[:, 1] == 1][:, 2:]
+            if not batch.num_rows:
+                continue
+            side, new = batch.column(1).to_numpy(), Rows.of(batch, 0, 2, 4 + WORDS)
+            for part in np.split(np.arange(len(new)), np.flatnonzero(new.key[1:] != new.key[:-1]) + 1):
+                if held is not None and new.key[part[0]] != held[0].key[0]:
+                    yield from crossed(tiles, *held)
+                    held = None
+                held = (new[part], side[part]) if held is None else (held[0].plus(new[part]), np.concatenate([held[1], side[part]]))
+        if held is not None:
+            yield from crossed(tiles, *held)
+
+    def crossed(tiles: Tiles, rows: Rows, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = rows[side == 0], rows[side == 1]
         p, q = tiles.between(x, y, False)
         if len(p):
-            out = _pairs_out(x[p], y[q])
+            out = _pairs_out(x.fixed[p], y.fixed[q])
             yield pa.RecordBatch.from_arrays(out.columns[1:], names=_PAIR[1:])
 
     by_cell = laid.repartition("cell").sortWithinPartitions("cell", "side", size, "da", "db")
     return pairs.unionByName(map_batches(by_cell, cell, ", ".join(f"{c} bigint" for c in _PAIR[1:]))).distinct()
 
 
-def _large_apart(key, rows, tile, done, passed) -> Iterator[pa.RecordBatch]:
-    """Complete runs: those longer than a tile are passed on, all others compared."""
-    if not len(key):
-        return
-    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    length = np.diff(np.append(cuts, len(key)))
-    big = length > tile
-    for at, n in zip(cuts[big].tolist(), length[big].tolist(), strict=True):
-        yield passed(rows[at : at + n], key[at], 0)
-    keep = ~np.repeat(big, length)
-    yield from done(key[keep], rows[keep])
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     """Source, id, digest and normalised text of every record that has a likeness."""
 
@@ -359,17 +420,51 @@ def _texts(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("src", "id", "text"), run, "src string, id bigint, d0 bigint, d1 bigint, norm string")
 
 
-def _likeness(x: str, y: str) -> float:
-    a, b = {x[k : k + 3] for k in range(len(x) - 2)}, {y[k : k + 3] for k in range(len(y) - 2)}
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
+def likeness(left: list[str], right: list[str], t: float = 0.0) -> np.ndarray:
+    """Of pairs of normalised texts, on their sequences, exactly: sequences get numbers, and of each pair the numbers
+    that both sides have are counted by one sort.  Pairs whose sketches of 2048 bits are beyond the radius of ``t``
+    are not counted and get 0."""
+    texts = list(dict.fromkeys([*left, *right]))
+    at = {t: k for k, t in enumerate(texts)}
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(texts)), lengths)
+    grams = c[:-2] << _U(42) | c[1:-1] << _U(21) | c[2:]
+    one = of[2:] == of[:-2]
+    of, (names, number) = of[:-2][one], np.unique(grams[one], return_inverse=True)
+    each = np.unique(of * len(names) + number)
+    of, number = each // len(names), each % len(names)
+    start = np.searchsorted(of, np.arange(len(texts) + 1))
+    size = np.diff(start)
+
+    x, y = (np.fromiter((at[t] for t in side), np.int64, len(side)) for side in (left, right))
+    out, open_ = np.zeros(len(x)), np.arange(len(x))
+    if t > 0:
+        bits = np.bincount(of << 11 | (mixed(names)[number] & _U(2047)).astype(np.int64), minlength=len(texts) << 11).astype(np.uint8) & 1
+        sketch = np.packbits(bits.reshape(-1, 2048), axis=1).view(np.uint64)
+        apart = np.zeros(len(x), np.int64)
+        for w in range(sketch.shape[1]):
+            apart += np.bitwise_count(sketch[x, w] ^ sketch[y, w])
+        open_ = np.flatnonzero(apart <= radius(t, size[x] + size[y]))
+        x, y = x[open_], y[open_]
+
+    def laid(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = size[k]
+        take = np.repeat(start[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(k)), n) * len(names) + number[take], n
+
+    if len(x):
+        (a, na), (b, nb) = laid(x), laid(y)
+        both = np.sort(np.concatenate([a, b]))
+        shared = np.bincount(both[1:][both[1:] == both[:-1]] // len(names), minlength=len(x))
+        out[open_] = shared / (na + nb - shared)
+    return out
 
 
 def _alike(pairs: DataFrame, t: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches, 4, 5):
-            x, y = chunk.column(4).to_pylist(), chunk.column(5).to_pylist()
-            s = np.array([_likeness(a, b) for a, b in zip(x, y, strict=True)])
+        for chunk in text_chunks(batches, 4, 5, size=1 << 20):
+            s = likeness(chunk.column(4).to_pylist(), chunk.column(5).to_pylist(), t)
             keep = pa.array(np.flatnonzero(s >= t - 1e-12))
             yield pa.RecordBatch.from_arrays([*(chunk.column(k).take(keep) for k in range(4)), pa.array(s).take(keep)], names=["a0", "a1", "b0", "b1", "likeness"])
 
@@ -384,6 +479,9 @@ def near_texts(docs: DataFrame, t: float = 0.6, bands: int = BANDS, tile: int =
     candidates = candidates.select("a0", plain[0].alias("a1"), "b0", plain[1].alias("b1"))
     texts = _texts(docs)
     wanted = candidates.select(F.col("a0").alias("d0"), F.col("a1").alias("d1")).unionByName(candidates.select(F.col("b0").alias("d0"), F.col("b1").alias("d1"))).distinct()
+    wanted = cut(wanted)
+    if wanted.count() <= SEND_ROWS:  # the texts that matter are picked before anything is shuffled
+        wanted = F.broadcast(wanted)
     texts_of = texts.select("d0", "d1", "norm").join(wanted, ["d0", "d1"], "left_semi").dropDuplicates(["d0", "d1"])
     with_a = candidates.join(texts_of.select(F.col("d0").alias("a0"), F.col("d1").alias("a1"), F.col("norm").alias("x")), ["a0", "a1"])
     with_b = with_a.join(texts_of.select(F.col("d0").alias("b0"), F.col("d1").alias("b1"), F.col("norm").alias("y")), ["b0", "b1"])
