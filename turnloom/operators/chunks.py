@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.text import has_chinese, strip
+from turnloom.session import ship_to_active
 
 # Characters that end a line of a document.
 LINE_ENDS = ".!?。！？…;；:：”’）】》」』〕〉〗〞〟»\"')]}"
@@ -30,23 +34,36 @@ def sentence_chunks(text: Column, size: int = 250) -> Column:
     return _folded(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), r"(?U)(?<=[.!?])\s+"), size, " ")
 
 
+# Ends of Chinese sentences.
+_WIDE_END = re.compile("[。！？\n]")
+
+
+def wide_spans(text: str, size: int, overlap: int) -> list[str]:
+    out, at = [], 0
+    while at < len(text):
+        end = _WIDE_END.search(text, at + max(size - overlap, 0), at + size)
+        to = end.end() if end else at + size
+        out.append(text[at:to])
+        at = to
+    return out
+
+
 def wide_chunks(text: Column, size: int = 250, overlap: int = 50) -> Column:
-    """Chinese text by words (here: by characters): a chunk is closed before the word that would exceed the size, and
-    after the end of a sentence when it is longer than the size less the overlap."""
-    start = F.expr("named_struct('out', cast(array() as array<string>), 'cur', '')")
+    """Chinese text by words (here: by characters): a chunk is closed at its full size, or after the end of a sentence
+    once it is longer than the size less the overlap.  An Arrow function: one step for each chunk, where a fold in SQL
+    would take one for each character."""
+    ship_to_active()
 
-    def step(acc: Column, ch: Column) -> Column:
-        over = F.length(acc["cur"]) + F.length(ch) > size
-        out, cur = F.when(over, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]), F.when(over, ch).otherwise(F.concat(acc["cur"], ch))
-        ends = ch.isin("。", "！", "？", "\n") & (F.length(cur) > size - overlap)
-        return F.struct(F.when(ends, F.concat(out, F.array(cur))).otherwise(out).alias("out"), F.when(ends, "").otherwise(cur).alias("cur"))
+    @F.pandas_udf("array<string>")
+    def split(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else wide_spans(t, size, overlap))
 
-    end = F.aggregate(F.split(text, ""), start, step)
-    return F.when(end["cur"] == "", end["out"]).otherwise(F.concat(end["out"], F.array(end["cur"])))
+    return split(text)
 
 
 def overlapped(chunks: Column, overlap: int = 50) -> Column:
-    """Each chunk but the last with the beginning of the next after a blank, stripped."""
+    """Each chunk but the last with the beginning of the next after a blank, stripped.  ``chunks`` should be a column of
+    the table rather than a long expression, which would be worked out again for every chunk."""
     if overlap <= 0:
         return chunks
     return F.when(F.size(chunks) > 1, F.transform(chunks, lambda c, i: F.when(i < F.size(chunks) - 1, strip(F.concat(c, F.lit(" "), F.left(F.get(chunks, i + 1), F.lit(overlap))))).otherwise(c))).otherwise(chunks)
@@ -55,8 +72,9 @@ def overlapped(chunks: Column, overlap: int = 50) -> Column:
 def document_chunks(df: DataFrame, key: str, text: str, size: int = 250, overlap: int = 50) -> DataFrame:
     """``key, chunk_no, chunk``: by characters if the text has any Chinese one, else by sentences."""
     t = F.col(text)
-    chunks = F.when(has_chinese(t), wide_chunks(t, size, overlap)).otherwise(sentence_chunks(t, size))
-    return df.where(t.isNotNull()).select(key, F.posexplode(overlapped(chunks, overlap)).alias("chunk_no", "chunk"))
+    chunks = F.when(has_chinese(t), wide_chunks(F.when(has_chinese(t), t), size, overlap)).otherwise(sentence_chunks(t, size))
+    rows = df.where(t.isNotNull()).select(key, chunks.alias("_chunks"))
+    return rows.select(key, F.posexplode(overlapped(F.col("_chunks"), overlap)).alias("chunk_no", "chunk"))
 
 
 def merged_lines(df: DataFrame, page: str, line_no: str, text: str) -> DataFrame:

@@ -121,7 +121,7 @@ def carried_forward(turns: DataFrame, across: bool = False) -> DataFrame:
 def last_answer_replaced(pairs: Column, text: Column) -> Column:
     """A list of (question, answer) with another last answer."""
     n = F.size(pairs)
-    last = F.array(F.struct(F.element_at(pairs, -1)["question"].alias("question"), text.alias("answer")))
+    last = F.array(F.struct(F.try_element_at(pairs, F.lit(-1))["question"].alias("question"), text.alias("answer")))
     return F.when(n > 0, F.concat(F.slice(pairs, F.lit(1), n - 1), last))
 
 
@@ -184,7 +184,7 @@ def react_history(df: DataFrame, messages: str = "messages", instruction: str =
 
     folded = df.withColumn("_f", F.aggregate(body, start, step))
     out = F.col("_f.out")
-    asks = F.coalesce(F.element_at(out, -1)["role"] == "user", F.lit(False))
+    asks = F.coalesce(F.try_element_at(out, F.lit(-1))["role"] == "user", F.lit(False))
     turns = F.when(asks, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)
     wrong = F.exists(F.transform(turns, lambda x, i: x["role"] != F.when(i % 2 == 0, "user").otherwise("assistant")), lambda x: x)
     error = F.when(~F.exists(m, lambda x: x["role"] == "user"), "no user message").otherwise(F.coalesce(F.col("_f.error"), F.when((F.size(turns) % 2 != 0) | wrong, "roles do not alternate")))
@@ -193,7 +193,7 @@ def react_history(df: DataFrame, messages: str = "messages", instruction: str =
         F.filter(turns, lambda x, i: i % 2 == 0),
         lambda x, i: F.struct((F.when(i == F.size(turns) / 2 - 1, told(x["content"])).otherwise(x["content"]) if instruction else x["content"]).alias("question"), F.get(turns, (2 * i + 1).cast("int"))["content"].alias("answer")),
     )
-    query = F.when(asks, F.element_at(out, -1)["content"])
+    query = F.when(asks, F.try_element_at(out, F.lit(-1))["content"])
     if instruction:
         query = F.when(F.size(turns) == 0, told(query)).otherwise(query)
     kept = df.columns

@@ -81,7 +81,8 @@ def drawn_pairs(n: int, left: DataFrame, right: DataFrame, key: str, text: str,
     """n pairs with replacement: ``id, left_text, right_text``.  Rows are numbered and drawn by number, in two joins."""
     a, b = ranked(left, key).select(F.col("place").alias("l"), F.col(text).alias("left_text")), ranked(right, key).select(F.col("place").alias("r"), F.col(text).alias("right_text"))
     na, nb = left.count(), right.count()
-    pick = lambda salt, size: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("id")), F.lit(max(size, 1)))
+    digest = lambda salt: F.md5(F.concat(F.lit(f"{seed}:{salt}:"), F.col("id").cast("string")).cast("binary"))
+    pick = lambda salt, size: F.conv(F.substring(digest(salt), 1, 12), 16, 10).cast("bigint") % max(size, 1)
     ids = left.sparkSession.range(n if na and nb else 0).withColumns({"l": pick("l", na), "r": pick("r", nb)})
     return ids.join(a, "l").join(b, "r").select("id", "left_text", "right_text")
 

@@ -16,8 +16,8 @@ Tokenizer = Callable[[Column], Column]
 
 
 def code_points(text: Column) -> Column:
-    """One token for each character: its code point (in UTF-16 units where it has no single one)."""
-    return F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    """One token for each character: its code point."""
+    return F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.ascii(c))).otherwise(F.array().cast("array<int>"))
 
 
 def tokenized(text: Column, tokenizer: Tokenizer = code_points, bos: int | None = None) -> Column:

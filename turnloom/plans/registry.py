@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnloom.plans import conversations, corpus, texts
+
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL = conversations.QUERIES | texts.QUERIES | corpus.QUERIES
 
 
 def core_queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def core_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
