@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,17 +37,17 @@ def read_json_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_aligned(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Several JSON files by name of the columns, in the order in which they are first seen; missing ones are null.  Files
-    of one schema are read together."""
-    parts = [spark.read.json(p) for p in paths]
-    order = list(dict.fromkeys(c for p in parts for c in _written_order(spark, p, paths[parts.index(p)])))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*order)
+    """Several JSON files as one table by name of the columns, in the order in which they are first seen; missing ones are
+    null.  All files are read, and their types agreed on, in one go."""
+    rows = spark.read.json(paths)
+    seen = [c for p in paths for c in _first_keys(spark, p)]
+    return rows.select(*dict.fromkeys([*(c for c in seen if c in rows.columns), *rows.columns]))
 
 
-def _written_order(spark: SparkSession, part: DataFrame, path: str) -> list[str]:
-    """Columns as the file's first record has them (inference sorts them by name)."""
+def _first_keys(spark: SparkSession, path: str) -> list[str]:
+    """Columns as the first record has them (inference sorts them by name)."""
     first = spark.read.text(path).where(strip(F.col("value")) != "").select(F.json_object_keys("value").alias("k")).first()
-    return [c for c in (first.k if first and first.k else []) if c in part.columns] + [c for c in part.columns if not first or not first.k or c not in first.k]
+    return list(first.k) if first and first.k else []
 
 
 def read_text(spark: SparkSession, folder: str, linebreaks: bool = False) -> DataFrame:
