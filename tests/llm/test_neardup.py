@@ -106,3 +106,41 @@ def test_reading_order_does_not_matter(spark, edited):
     a = {tuple(r) for r in near_pairs(df.repartition(7)).collect()}
     b = {tuple(r) for r in near_pairs(df.orderBy(F.desc("id")).coalesce(1)).collect()}
     assert a == b
+
+
+def union_find(pairs, nodes):
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return {n: root(n) for n in nodes}
+
+
+def test_components(spark):
+    from turnloom.llm.neardup import components
+
+    rng = random.Random(8)
+    chain = [(k, k + 1) for k in range(100, 160)]
+    star = [(500, k) for k in range(501, 620)]
+    loose = [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(110)]
+    links = [*chain, *star, *loose, (7, 3), (3, 7), (9, 9)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    want = union_find(links, {x for p in links for x in p})
+    assert got == {k: v for k, v in want.items() if k in got} and set(want) - set(got) <= {x for x, y in links if x == y}
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_groups(spark, sf):
+    from turnloom.llm.neardup import near_groups
+
+    docs = _short_texts(spark, sf)
+    rows = near_groups(docs).collect()
+    pairs = brute([(r.src, r.id, r.text) for r in docs.where("text is not null").collect()])
+    want = union_find([((s, a), (s, b)) for s, a, b in pairs], {(r.src, r.id) for r in rows})
+    assert len(rows) == len(want) and {(r.src, r.id): (r.src, r.group_id) for r in rows} == want

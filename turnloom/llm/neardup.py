@@ -500,3 +500,39 @@ def near_pairs(docs: DataFrame, t: float = 0.6, bands: int = BANDS, tile: int =
     b = members.select(F.col("d0").alias("b0"), F.col("d1").alias("b1"), F.col("id").alias("y"))
     near = links.join(a, ["a0", "a1"]).join(b, ["b0", "b1"]).where("x <> y").select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return equal.unionByName(near).distinct()
+
+
+def components(links: DataFrame, most: int = 60) -> DataFrame:
+    """``node, label``: the connected components of ``u, v``; the label is the smallest node.  Large and small stars in
+    turn: each node hands its larger, then its smaller neighbours to the smallest of them, until nothing changes.  A
+    node with any number of neighbours is two aggregates and a join that may be split; no component is collected."""
+    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    edges, mark = cut(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    for _ in range(most):
+        ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = ways.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        edges = cut(small.where("u <> v").distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
+            break
+        mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {most} rounds")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def near_groups(docs: DataFrame, t: float = 0.6, bands: int = BANDS, tile: int = TILE) -> DataFrame:
+    """One row for each record that has a likeness: ``src, id, group_id`` (the smallest id of its group), ``copies`` (records
+    with an equal text, itself included) and ``links`` (other texts with a likeness of at least ``t``)."""
+    members, links = near_texts(docs, t, bands, tile)
+    members = cut(members.where("id is not null"))
+    links = cut(links.select(F.struct(F.col("a0").alias("d0"), F.col("a1").alias("d1")).alias("u"), F.struct(F.col("b0").alias("d0"), F.col("b1").alias("d1")).alias("v")))
+    texts = members.groupBy("d0", "d1").agg(F.min("id").alias("first"), F.count("*").alias("copies")).withColumn("node", F.struct("d0", "d1"))
+    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+    texts = texts.join(ends, "node", "left").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = texts.groupBy("label").agg(F.min("first").alias("group_id"))
+    texts = texts.join(groups, "label").select("d0", "d1", "group_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(texts, ["d0", "d1"]).select("src", "id", "group_id", "copies", "links")

@@ -12,7 +12,7 @@ from turnloom.llm.encode import encode_corpus
 from turnloom.llm.lookalike import consistent_form, same_reading_pairs
 from turnloom.llm.langid import document_languages, fit_languages, label_defects, language_segments
 from turnloom.llm.leak import leaked_items
-from turnloom.llm.neardup import near_pairs
+from turnloom.llm.neardup import near_groups, near_pairs
 from turnloom.llm.packing import container_report, pack, token_counts
 from turnloom.llm.pairs import broken_replies, fit_endings
 from turnloom.llm.records import article_texts, human_text, last_human_turn
@@ -30,6 +30,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(_short_texts(spark, sf_dir))
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_short_texts(spark, sf_dir))
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, DataFrame]]:
     """Source, key and rows with ``text`` and ``lang`` of all records with a language label."""
     turns = table(spark, sf_dir, "toolcall_dpo_zh_demo").select("pref_id", human_text().alias("text"), "lang")
@@ -96,7 +100,7 @@ def p7_consistent_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_languages, p2_segments, p3_found, p4_found, p5_ids, p6_pack, p6_containers, p7_found, p7_consistent_form)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_languages, p2_segments, p3_found, p4_found, p5_ids, p6_pack, p6_containers, p7_found, p7_consistent_form)}
 
 
 def oracle_sql() -> dict[str, str]:
