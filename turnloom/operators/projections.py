@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions.text import strip
+from turnloom.operators.sampling import ranked
 
 # Fixed values.
 REASONING_PROMPT = (
@@ -31,12 +32,10 @@ def alpaca_to_conversation(instruction: str = "instruction", entry: str = "input
 
 
 def problems_to_conversations(df: DataFrame, source: str, order: str, problem: str = "problem", solution: str = "solution") -> DataFrame:
-    """``id`` (source and place, from 0) and ``conversations``.  Numbering all rows needs one order of them, so rank within
-    a key range first where the table is large, or give a column that already counts."""
-    place = F.row_number().over(Window.orderBy(order)) - 1
+    """``id`` (source and place in the order of a unique key, from 0) and ``conversations``."""
     asked = F.concat(F.col(problem), F.lit(" " + STEP_BY_STEP))
     answer = F.coalesce(F.nullif(F.col(solution), F.lit("")), F.lit(NO_SOLUTION))
-    return df.select(F.concat(F.lit(f"{source}-"), place.cast("string")).alias("id"), F.array(turn("human", asked), turn("gpt", answer)).alias("conversations"))
+    return ranked(df, order).select(F.concat(F.lit(f"{source}-"), F.col("place").cast("string")).alias("id"), F.array(turn("human", asked), turn("gpt", answer)).alias("conversations"))
 
 
 def rl_prompt(df: DataFrame, question: str = "question") -> DataFrame:
