@@ -143,3 +143,12 @@ def test_checks(spark):
         check_model_length(10)
     with pytest.raises(ValueError, match="nope"):
         require_columns(spark.range(1), "nope")
+
+
+def test_a_dialect_of_ones_own(spark):
+    TL.register_dialect("mine", lambda tools: " ".join(t["name"] for t in tools), lambda text: [(text[1:], "{}")] if text.startswith("!") else None)
+    df = spark.createDataFrame([('[{"name": "a"}]', "!f"), (None, "x")], "tools string, reply string")
+    assert [r[0] for r in df.select(TL.tools_prompt(F.col("tools"), "mine")).collect()] == ["a", None]
+    got = [r[0] for r in df.select(TL.extract_calls(F.col("reply"), "mine")).collect()]
+    assert (got[0].is_call, got[0].calls[0].name, got[1].text) == (True, "f", "x")
+    del TL.OWN["mine"]

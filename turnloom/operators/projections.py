@@ -68,3 +68,9 @@ def attention_mask(ids: Column) -> Column:
 def ends_with_assistant(m: Column) -> Column:
     """For a filter: lists that aren't empty and whose last message is the assistant's."""
     return F.coalesce(F.try_element_at(m, F.lit(-1))["role"] == "assistant", F.lit(False))
+
+
+def zipped(a: Column, b: Column) -> Column:
+    """Pairs of two lists up to the end of the shorter."""
+    n = F.least(F.size(a), F.size(b))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.struct(x.alias("a"), y.alias("b")))

@@ -122,3 +122,8 @@ def prompt_length_filter(df: DataFrame, messages: str, prompt: str, length: str,
 
 def batch_number(df: DataFrame, key: str, size: int) -> DataFrame:
     return ranked(df, key).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
+
+
+def sharded(df: DataFrame, n: int, key: str) -> DataFrame:
+    """Adds ``shard`` (0 to n - 1) and lays each shard in one partition or more.  Every row is in exactly one shard."""
+    return df.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition(n, "shard")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnloom.functions import extend as X
 from turnloom.operators import projections as J
 from turnloom.operators import quality as A
 from turnloom.operators import ranking as K
@@ -224,6 +225,46 @@ def trainable_share(spark, d):
     return A.trainable_share(rows, "n", "on").select("trainable", "total", F.round("percent", 6).alias("percent"))
 
 
+def reward_functions(spark, d):
+    """Two rewards of the user's own beside each other."""
+    rows = _qa(spark, d).select("qa_id", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("question", F.lit("")).alias("question"))
+    out = X.reward_columns(rows, {"size": lambda a, q: a.str.len(), "same": lambda a, q: (a == q).astype(float)}, ["answer", "question"])
+    return out.select("qa_id", "size", "same")
+
+
+def batch_function(spark, d):
+    """A function of batches that gives two rows for each."""
+    import pandas as pd
+
+    twice = lambda b: pd.concat([b.assign(half=0), b.assign(half=1)])
+    return X.batched(_docs(spark, d).select("doc_id"), twice, "doc_id bigint, half int")
+
+
+def scored_rows(spark, d):
+    return X.scored(_docs(spark, d).where("text is not null").select("doc_id", "text"), lambda: lambda s: s.str.count("a"), "text").select("doc_id", "score")
+
+
+def generated_texts(spark, d):
+    """A stand-in for a service: the prompt turned round."""
+    out = X.generated(_qa(spark, d).select("qa_id", "question"), lambda p: [None if x is None else x[::-1] for x in p], "question")
+    return out.select("qa_id", "response")
+
+
+def group_metrics(spark, d):
+    return X.grouped_metric(table(spark, d, "part"), "p_size", lambda p: p.max() - p.min(), ["p_retailprice"]).select("p_size", F.round("metric", 6).alias("metric"))
+
+
+def shards(spark, d):
+    return P.sharded(_docs(spark, d).select("doc_id"), 4, "doc_id").groupBy("doc_id").agg(F.count("*").alias("times"))
+
+
+def zipped_lists(spark, d):
+    """Words of question and answer side by side, up to the end of the shorter."""
+    rows = _qa(spark, d).where("question is not null and answer is not null")
+    z = J.zipped(F.split("question", "，"), F.split("answer", "，"))
+    return rows.select("qa_id", F.posexplode(z).alias("pos", "x")).select("qa_id", "pos", "x.a", "x.b")
+
+
 def jsonl_round_trip(spark, d):
     """Preferences with and without tools in files of their own, read again by name."""
     t = table(spark, d, "toolcall_dpo_zh_demo").dropDuplicates(["pref_id"])
@@ -326,6 +367,13 @@ QUERIES = {
     "token_usage": (token_usage, f"SELECT qa_id, CAST(coalesce(length(question), 0) + coalesce(length(answer), 0) AS INTEGER) AS total_tokens FROM {_QA}"),
     "device_counts": (device_counts, "SELECT source, count(*) AS count, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY source"),
     "trainable_share": (trainable_share, "SELECT CAST(sum(p_size) FILTER (p_partkey % 3 = 0) AS BIGINT) AS trainable, CAST(sum(p_size) AS BIGINT) AS total, round(100 * sum(p_size) FILTER (p_partkey % 3 = 0) / sum(p_size), 6) AS percent FROM part"),
+    "reward_functions": (reward_functions, f"SELECT qa_id, CAST(length(coalesce(answer, '')) AS DOUBLE) AS size, CASE WHEN coalesce(answer, '') = coalesce(question, '') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS same FROM {_QA}"),
+    "batch_function": (batch_function, "SELECT doc_id, CAST(h AS INTEGER) AS half FROM documents, (VALUES (0), (1)) v(h)"),
+    "scored_rows": (scored_rows, "SELECT doc_id, CAST(length(text) - length(replace(text, 'a', '')) AS DOUBLE) AS score FROM documents WHERE text IS NOT NULL"),
+    "generated_texts": (generated_texts, f"SELECT qa_id, list_aggregate(list_reverse(string_split(question, '')), 'string_agg', '') AS response FROM {_QA}"),
+    "group_metrics": (group_metrics, "SELECT p_size, round(max(p_retailprice) - min(p_retailprice), 6) AS metric FROM part GROUP BY p_size"),
+    "shards": (shards, "SELECT doc_id, count(*) AS times FROM documents GROUP BY doc_id"),
+    "zipped_lists": (zipped_lists, f"WITH s AS (SELECT qa_id, string_split(question, '，') AS a, string_split(answer, '，') AS b FROM {_QA} WHERE question IS NOT NULL AND answer IS NOT NULL) SELECT qa_id, CAST(i - 1 AS INTEGER) AS pos, a[i] AS a, b[i] AS b FROM (SELECT *, unnest(range(1, least(len(a), len(b)) + 1)) AS i FROM s)"),
     "jsonl_round_trip": (jsonl_round_trip, f"WITH {TURNS} SELECT pref_id, chosen, tools FROM c"),
     "csv_round_trip": (csv_round_trip, f"SELECT CAST(qa_id AS VARCHAR) AS input, coalesce(dept, '-') AS output FROM {_QA}"),
     "text_round_trip": (text_round_trip, "SELECT coalesce(text, '') || chr(10) AS text, count(*) AS n FROM (SELECT DISTINCT line_id, text FROM en_article_tail500) GROUP BY 1"),
