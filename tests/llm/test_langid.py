@@ -62,3 +62,11 @@ def test_languages_have_a_row_for_each_row(spark, model):
 def test_prose_keeps_places():
     t = 'a {"x": 1} b `code` <tag> c'
     assert len(prose(t)) == len(t) and "code" not in prose(t) and prose(t).endswith(" c")
+
+
+def test_without_samples(spark, sf):
+    empty = fit_languages(spark.read.parquet(f"{sf}/lang_reference.parquet").limit(0))
+    df = spark.createDataFrame([(1, SENTENCES["en"])], "id bigint, text string")
+    assert document_languages(df, empty, "id", "text").first().lang is None
+    one = fit([("en", SENTENCES["en"])])
+    assert document_languages(df, one, "id", "text").first().lang == "en"

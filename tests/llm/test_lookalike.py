@@ -57,3 +57,9 @@ def test_consistent_form_has_a_row_for_each_row(spark):
     assert forms[1] is None and forms[2] == "" and forms[3] in ("a", "ａ")
     assert consistent_form(df.limit(0)).count() == 0
     assert same_reading_pairs(df.limit(0)).count() == 0
+
+
+def test_a_third_of_all_rows_is_one_text(spark):
+    rows = [(k, "the hot text" if k % 3 == 0 else f"text {k}") for k in range(1500)] + [(9000, "the hоt text"), (9001, "ｔhe hot text")]
+    got = {tuple(r) for r in same_reading_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(k, v) for k in range(0, 1500, 3) for v in (9000, 9001)} | {(9000, 9001)}

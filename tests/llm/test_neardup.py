@@ -144,3 +144,15 @@ def test_groups(spark, sf):
     pairs = brute([(r.src, r.id, r.text) for r in docs.where("text is not null").collect()])
     want = union_find([((s, a), (s, b)) for s, a, b in pairs], {(r.src, r.id) for r in rows})
     assert len(rows) == len(want) and {(r.src, r.id): (r.src, r.group_id) for r in rows} == want
+
+
+def test_a_third_of_all_rows_is_one_text(spark):
+    from turnloom.llm.neardup import near_groups
+
+    rng = random.Random(6)
+    hot = "the one text that a third of all records share, delivered again and again"
+    rows = [("s", k, hot if k % 3 == 0 else "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))) for k in range(3000)]
+    rows.append(("s", 5000, hot + " and again"))
+    got = {r.id: r for r in near_groups(spark.createDataFrame(rows, "src string, id bigint, text string").repartition(8)).collect()}
+    assert len(got) == 3001 and got[2997].group_id == 0 and got[5000].group_id == 0 and got[1].group_id == 1
+    assert (got[0].copies, got[0].links, got[5000].copies, got[5000].links, got[1].links) == (1000, 1, 1, 1, 0)

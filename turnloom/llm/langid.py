@@ -1,7 +1,7 @@
 """The language of documents and of their segments, with a confidence.
 
 Nearest centroid: a sentence becomes a TF-IDF vector of its character n-grams
-(one to three), hashed to a fixed number of dimensions and normalised; it is
+(up to four; capitalised words within a sentence are left out), hashed to a fixed number of dimensions and normalised; it is
 compared by cosine with several centroids per language, which spherical k-means
 finds among the labelled samples.  A sentence further than ``FAR`` from every
 centroid, or no nearer to its language than to the next by ``CLEAR``, is
@@ -37,7 +37,7 @@ from turnloom.session import map_batches
 
 LANGUAGES = ("en", "zh", "fr", "de", "es", "ru", "ja")
 DIMENSIONS, CENTROIDS, SAMPLES = 1 << 14, 3, 1000
-FAR, CLEAR, LETTERS = 0.03, 1.15, 20
+FAR, CLEAR, LETTERS = 0.03, 1.3, 20
 _U = np.uint64
 
 # Names of the languages besides their two-letter codes.
@@ -61,10 +61,10 @@ def named_language(label: str | None) -> str | None:
 
 #: What is no prose: fenced and inline code, JSON, tags, links, addresses, and role marks at the start of a line.
 _NOT_PROSE = re.compile(
-    r"```.*?```|`[^`\n]*`|<[/!]?[A-Za-z][^<>\n]*>|https?://\S+|\S+@\S+|^[ \t]*[A-Za-z_ ]{2,20}:(?=[ \t]|\{|\[)|\[?\{[^\n]*[}\]]",
+    r"```.*?```|`[^`\n]*`|<[/!]?[A-Za-z][^<>\n]*>|https?://\S+|\S+@\S+|^[^\S\n]*[\w ]{2,20}:(?=\s|\{|\[)|\[?\{[^\n]*[}\]]",
     re.S | re.M,
 )
-_CODE_HINT = re.compile(r"[`<{@]|://|^[ \t]*[A-Za-z_ ]{2,20}:", re.M)
+_CODE_HINT = re.compile(r"[`<{@]|://|^[^\S\n]*[\w ]{2,20}:", re.M)
 
 #: Classes of code points.
 OTHER, LETTER, WIDE, MARK, ENDS, DOT, BREAK, SPACE, INNER, UNSEEN = range(10)
@@ -73,15 +73,16 @@ SHAPES = dict(zip("аеорсухѕіјһӏԁԛԝοαβεζηικμνρτυχ",
 
 
 @lru_cache(maxsize=1)
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class and lower-case form of every code point."""
-    kind, low = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, lower-case form and capitals of all code points."""
+    kind, low, upper = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
     for cp in range(0x30000):
         ch = chr(cp)
         if ch.isalpha():
             wide = 0x3040 <= cp < 0x3100 or 0x3400 <= cp < 0xA000 or 0xF900 <= cp < 0xFB00 or 0x20000 <= cp or 0x31F0 <= cp < 0x3200
             kind[cp] = WIDE if wide else LETTER
             low[cp] = ord(ch.lower()[0])
+            upper[cp] = ch.isupper()
     for cp in (*range(0x2E80, 0x2FE0), *range(0xF900, 0xFB00), *range(0xFF66, 0xFF9E)):
         form = unicodedata.normalize("NFKC", chr(cp))
         if len(form) == 1 and form.isalpha():
@@ -102,7 +103,7 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     for cp in range(0xFF21, 0xFF5B):
         if kind[cp] == LETTER:
             low[cp] = ord(chr(cp - 0xFEE0).lower())
-    return kind, low
+    return kind, low, upper
 
 
 def prose(text: str) -> str:
@@ -114,7 +115,7 @@ class Sentences:
     """The sentences of the texts of a chunk, one after another."""
 
     def __init__(self, texts: list[str], lines: bool):
-        kind, low = tables()
+        kind, low, upper = tables()
         joined = "\n\n".join(texts)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds = kind[codes]
@@ -134,8 +135,16 @@ class Sentences:
         self.start = np.concatenate([[0], np.flatnonzero(end) + 1])[:count]
         self.stop = np.append(self.start[1:], len(codes))[:count]
         self.text = np.searchsorted(self.text_start, self.start, side="right") - 1
-        # letters with one blank between runs; what is no letter separates
+        # capitalised words within a sentence are names, or nouns that are told by the words around them
         inside = letter | (kinds == MARK)
+        starts = np.flatnonzero(word)
+        if len(starts):
+            next_ = np.minimum(starts + 1, len(codes) - 1)
+            capital = upper[codes[starts]] & (kinds[next_] == LETTER) & ~upper[codes[next_]]
+            capital &= np.concatenate([[False], nth[starts[1:]] == nth[starts[:-1]]])
+            within = np.cumsum(word)
+            inside &= ~((kinds == LETTER) & np.concatenate([[False], capital])[within])
+        # letters with one blank between runs; what is no letter separates
         keep = inside | (np.concatenate([[True], inside[:-1]]) & (kinds != UNSEEN))
         folded, of = np.where(inside, low[codes], 32)[keep], nth[keep]
         # a sentence whose only Cyrillic or Greek letters are those that look Latin is a Latin one
@@ -150,17 +159,20 @@ class Sentences:
         self.codes, self.of = folded.astype(np.uint64), of
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """(sentence, dimension) of every n-gram of a sentence with letters."""
+        """(sentence, dimension) of every n-gram: one to three characters of a wide script, two to four of others."""
         c, of = self.codes, self.of
+        wide = (c >= 0x3040) & (c < 0x30000)
         out_s, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n in (1, 2, 3):
+        for n in (1, 2, 3, 4):
             if len(c) < n:
                 continue
             key, same = c[: len(c) - n + 1].copy(), of[n - 1 :] == of[: len(of) - n + 1]
             for j in range(1, n):
-                key = key << _U(21) | c[j : len(c) - n + 1 + j]
+                key = key * _U(0x9E3779B97F4A7C15) + c[j : len(c) - n + 1 + j]
             if n == 1:
-                same = same & (key != 32)
+                same = same & wide
+            if n == 4:
+                same = same & ~wide[: len(c) - 3] & ~wide[3:]
             out_s.append(of[: len(of) - n + 1][same])
             out_d.append((mixed(key[same] + _U(n)) & _U(DIMENSIONS - 1)).astype(np.int64))
         return np.concatenate(out_s), np.concatenate(out_d)
@@ -179,10 +191,11 @@ def vectors(s: Sentences, of: np.ndarray, count: int) -> tuple[np.ndarray, np.nd
 
 
 class Model:
-    """IDF and centroids; ``weight`` has the centroids times IDF, a column each."""
+    """IDF and centroids; ``weight`` has the centroids times IDF, a column each.  ``wide``: by language, whether its samples
+    are written in a wide script; sentences are compared with languages of their kind of script only."""
 
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, of: np.ndarray):
-        self.idf, self.of = idf, of
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, of: np.ndarray, wide: np.ndarray):
+        self.idf, self.of, self.wide = idf, of, wide
         self.weight = np.ascontiguousarray((centroids * idf).T.astype(np.float32))
 
     def similarity(self, s: Sentences, pick: np.ndarray) -> np.ndarray:
@@ -196,15 +209,16 @@ class Model:
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         norm = np.sqrt(np.add.reduceat((times * self.idf[dim]) ** 2, first))
         dots = np.add.reduceat(self.weight[dim] * times[:, None], first, axis=0) / np.maximum(norm, 1e-9)[:, None]
-        for k in range(len(LANGUAGES)):
+        for k in np.unique(self.of).tolist():
             out[row[first], k] = dots[:, self.of == k].max(1)
+        out[(s.wide[pick] * 2 > s.letters[pick])[:, None] != self.wide[None, :]] = 0
         return out
 
 
 def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS) -> Model:
     """From (language, text): sentences of the samples, their IDF, and k-means with the cosine in each language."""
     texts = [t for lang, t in samples if lang in LANGUAGES]
-    langs = np.array([LANGUAGES.index(lang) for lang, t in samples if lang in LANGUAGES])
+    langs = np.array([LANGUAGES.index(lang) for lang, t in samples if lang in LANGUAGES], dtype=np.int64)
     s = Sentences([prose(t) for t in texts], True)
     pick = np.flatnonzero(s.letters >= 8)
     place = np.full(len(s.letters), -1, np.int64)
@@ -214,7 +228,7 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS) -> Model:
     dense = np.zeros((len(pick), DIMENSIONS), np.float32)
     dense[row, dim] = times * idf[dim]
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
-    found, of = [], []
+    found, of = [np.zeros((0, DIMENSIONS), np.float32)], []
     for k in range(len(LANGUAGES)):
         x = dense[langs[s.text[pick]] == k]
         if not len(x):
@@ -232,7 +246,8 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS) -> Model:
                     c[j] /= max(float(np.linalg.norm(c[j])), 1e-9)
         found.append(c)
         of += [k] * len(c)
-    return Model(idf, np.concatenate(found), np.array(of))
+    letters, wide = (np.bincount(langs[s.text], n, len(LANGUAGES)) for n in (s.letters, s.wide))
+    return Model(idf, np.concatenate(found), np.array(of, dtype=np.int64), wide * 2 > letters)
 
 
 def fit_languages(reference: DataFrame, lang: str = "lang", text: str = "text", samples: int = SAMPLES) -> Model:
