@@ -103,5 +103,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_languages, p2_segments, p3_found, p4_found, p5_ids, p6_pack, p6_containers, p7_found, p7_consistent_form)}
 
 
+_RECORDS = """records AS (SELECT DISTINCT 'qa_sample' AS src, qa_id AS rec_id, question AS text FROM qa_sample WHERE question IS NOT NULL
+UNION ALL SELECT 'en_article_tail500', art_id, string_agg(coalesce(text, ''), ' ' ORDER BY line_no, line_id) FROM (SELECT DISTINCT line_id, art_id, line_no, text FROM en_article_tail500 WHERE art_id IS NOT NULL) GROUP BY art_id)"""
+
+
+def _grams(table: str, key: str, unit: str, n: int) -> str:
+    """SQL of the different n-grams of words or characters of the texts of a table."""
+    if unit == "words":
+        own = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+        return f"SELECT DISTINCT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT {key}, {own} AS w FROM {table}))"
+    own = r"regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')"
+    return f"SELECT DISTINCT {key}, substr(w, i, {n}) AS g FROM (SELECT {key}, w, unnest(range(1, length(w) - {n - 2})) AS i FROM (SELECT {key}, {own} AS w FROM {table}))"
+
+
+P1_SQL = f"""WITH t AS (SELECT DISTINCT 'qa_sample' AS src, qa_id AS id, question AS text FROM qa_sample WHERE question IS NOT NULL
+UNION ALL SELECT DISTINCT 'toolcall_dpo_zh_demo', pref_id, array_to_string(list_transform(list_filter(conversations, lambda x: x."from" = 'human'), lambda x: coalesce(x.value, '')), chr(10)) FROM toolcall_dpo_zh_demo WHERE conversations IS NOT NULL),
+g AS ({_grams("t", "src, id", "chars", 3)}), n AS (SELECT src, id, count(*) AS n FROM g GROUP BY ALL),
+b AS (SELECT x.src, x.id AS id_a, y.id AS id_b, count(*) AS shared FROM g x JOIN g y ON x.src = y.src AND x.g = y.g AND x.id < y.id GROUP BY ALL)
+SELECT b.src, id_a, id_b FROM b JOIN n p ON p.src = b.src AND p.id = id_a JOIN n q ON q.src = b.src AND q.id = id_b WHERE shared >= 0.6 * (p.n + q.n - shared)"""
+
+P3_SQL = f"""WITH {_RECORDS}, wi AS (SELECT * FROM eval_items WHERE lang <> 'zh'), ci AS (SELECT * FROM eval_items WHERE lang = 'zh'),
+rw AS ({_grams("records", "src, rec_id", "words", 10)}), rc AS ({_grams("records", "src, rec_id", "chars", 18)}), iw AS ({_grams("wi", "item_id", "words", 10)}), ic AS ({_grams("ci", "item_id", "chars", 18)})
+SELECT src, rec_id, item_id FROM rw JOIN iw USING (g) UNION SELECT src, rec_id, item_id FROM rc JOIN ic USING (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL}
