@@ -286,7 +286,8 @@ QUERIES = {
     "observation_format": (observation_format, f"WITH {TURNS} SELECT conv_id, turn, '<tool_response>' || chr(10) || text || chr(10) || '</tool_response>' AS qwen, '<|observation|>' || chr(10) || text AS glm4, '[TOOL_RESULTS] {{\"content\": ' || text || '}}[/TOOL_RESULTS]' AS mistral, 'Observation: ' || text AS other FROM turns WHERE role = 'observation'"),
     "function_format": (function_format, f"WITH {TURNS} SELECT conv_id, turn, 'Action: f' || chr(10) || 'Action Input: ' || text || chr(10) AS \"default\", 'f' || chr(10) || text AS glm4, '{{\"name\": \"f\", \"parameters\": ' || text || '}}' AS llama3, '[{{\"name\": \"f\", \"arguments\": ' || text || '}}]' AS mistral, '<tool_call>' || chr(10) || '{{\"name\": \"f\", \"arguments\": ' || text || '}}' || chr(10) || '</tool_call>' AS qwen FROM turns WHERE role = 'function_call'"),
     "tools_rendered": (tools_rendered, None),
-    "call_extracted": (call_extracted, None),
+    "call_extracted": (call_extracted, f"""WITH {TURNS}, x AS (SELECT pref_id, regexp_extract(chosen, '(?s)Action:\\s*(\\w+)\\s*Action Input:\\s*(.+?)\\s*$', 1) AS n, regexp_extract(chosen, '(?s)Action:\\s*(\\w+)\\s*Action Input:\\s*(.+?)\\s*$', 2) AS a FROM c)
+SELECT pref_id, coalesce(n <> '' AND json_valid(a), false) AS is_call, CASE WHEN n <> '' AND json_valid(a) THEN n END AS name, CASE WHEN n <> '' AND json_valid(a) THEN a END AS arguments FROM x"""),
     "react_parse": (react_parse, f"""WITH {TURNS}, x AS (SELECT pref_id, 'Thought: look' || chr(10) || chosen AS t FROM c), y AS (SELECT *, strpos(t, chr(10) || 'Action:') AS a, strpos(t, chr(10) || 'Action Input:') AS b FROM x), z AS (SELECT *, trim(substr(t, a + 8, b - a - 8), ' ' || chr(10) || chr(9)) AS nm FROM y)
 SELECT pref_id, CASE WHEN t IS NULL THEN NULL WHEN a > 0 AND b > a AND nm <> '' THEN 'look' ELSE t END AS content, CASE WHEN a > 0 AND b > a AND nm <> '' THEN nm END AS name, CASE WHEN a > 0 AND b > a AND nm <> '' THEN trim(substr(t, b + 14), ' ' || chr(10) || chr(9)) END AS arguments FROM z"""),
     "react_requests": (react_requests, None),
