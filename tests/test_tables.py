@@ -159,3 +159,28 @@ def test_streams(spark, tmp_path):
     packed_stream(stream, "k", "text", 4, 2, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [r.input_ids for r in got] == [[100, 101, 2, 97]]
+
+
+def test_small_projections(spark):
+    from turnloom.operators import projections as J
+
+    df = spark.createDataFrame([("train", [("user", "a", 1)], 5), ("test", [], 6)], "split string, items array<struct<role:string,content:string,x:int>>, n int")
+    df.createOrReplaceTempView("named_rows")
+    assert S.read_named(spark, "named_rows").count() == 2 and S.read_named(spark, "named_rows", "test").first().n == 6
+    assert J.items_to_conversations(df).columns == ["split", "conversations", "n"] and J.only(df, "n").columns == ["n"]
+    assert [tuple(m) for m in df.select(J.as_messages(F.col("items")).alias("m")).first().m] == [("user", "a")]
+    assert df.where(J.ends_with_assistant(F.col("items"))).count() == 0
+    assert df.select(*W.predictions(F.col("split"), F.col("n"))).columns == ["Input", "Output"]
+    assert J.aligned(df, {"n": "bigint", "new": "string"}).dtypes == [("n", "bigint"), ("new", "string")]
+    assert df.select(J.attention_mask(F.col("items")).alias("m")).first().m == [1]
+
+
+def test_raw_lines(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n  \n{broken\n')
+    assert S.read_raw_jsonl(spark, str(tmp_path / "x.jsonl")).count() == 3
+    assert S.read_lines(spark, str(tmp_path / "x.jsonl"), blank=False).count() == 2
+
+
+def test_shards_hold_every_row_once(spark):
+    got = P.sharded(spark.range(100), 4, "id").collect()
+    assert len(got) == 100 and {r.shard for r in got} == {0, 1, 2, 3}
