@@ -146,7 +146,8 @@ def _blocks(docs: DataFrame, bands: int) -> DataFrame:
                 pick = np.array(new)
                 a, b = _halves([digests[k] for k in new])
                 b = (b & ~_U(0xFFFFFF)) | np.minimum(s.size[pick], 0xFFFFFF).astype(np.uint64)
-                fixed = [np.tile(x, bands) for x in (a, b, *(w[pick] for w in s.sketch))]
+                narrow = s.size[pick] <= NARROW  # a wide sketch folds to the narrow one: that is left out beside it
+                fixed = [np.tile(x, bands) for x in (a, b, *(np.where(narrow, w[pick], _U(0)) for w in s.sketch))]
                 wide = pa.array([s.wide[k] for k in new] * bands, pa.binary())
                 yield pa.RecordBatch.from_arrays([*(_signed(x) for x in (np.concatenate([k[pick] for k in s.keys]), *fixed)), wide], names=[*_BLOCK, "wide"])
 
@@ -173,8 +174,16 @@ class Rows:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, key: int, first: int, wide: int) -> Rows:
-        columns = [batch.column(k).to_numpy().view(np.uint64) for k in range(first, first + 2 + WORDS)]
-        return cls(batch.column(key).to_numpy().view(np.uint64), np.stack(columns, 1), np.array(batch.column(wide).to_pylist() + [None], object)[:-1])
+        fixed = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(first, first + 2 + WORDS)], 1)
+        wider = np.array(batch.column(wide).to_pylist() + [None], object)[:-1]
+        by_length: dict[int, list[int]] = {}
+        for k, raw in enumerate(wider):
+            if raw is not None:
+                by_length.setdefault(len(raw), []).append(k)
+        for at in by_length.values():
+            all_words = np.frombuffer(b"".join(wider[at]), np.uint64).reshape(len(at), -1, WORDS)
+            fixed[at, 2:] = np.bitwise_xor.reduce(all_words, axis=1)
+        return cls(batch.column(key).to_numpy().view(np.uint64), fixed, wider)
 
     @classmethod
     def none(cls) -> Rows:
