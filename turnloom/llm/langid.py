@@ -5,7 +5,7 @@ Nearest centroid: a sentence becomes a TF-IDF vector of its character n-grams
 compared by cosine with several centroids per language, which spherical k-means
 finds among the labelled samples.  A sentence further than ``FAR`` from every
 centroid, or no nearer to its language than to the next by ``CLEAR``, is
-rejected: it has no language and takes that of nothing.
+rejected; to count as a whole sentence of a language it has to be nearer by ``SURE``.
 
 A document's language is the one with most letters.  It is mixed if it holds a
 whole sentence in each of two languages or more; names, terms, code, JSON, mark-
@@ -37,7 +37,7 @@ from turnloom.session import map_batches
 
 LANGUAGES = ("en", "zh", "fr", "de", "es", "ru", "ja")
 DIMENSIONS, CENTROIDS, SAMPLES = 1 << 14, 3, 1000
-FAR, CLEAR, LETTERS = 0.03, 1.3, 20
+FAR, CLEAR, SURE, LETTERS = 0.03, 1.3, 1.6, 20
 _U = np.uint64
 
 # Names of the languages besides their two-letter codes.
@@ -280,8 +280,10 @@ class Judged:
         sure = (top >= FAR) & (top >= CLEAR * second)
         self.lang[pick[sure]] = best[sure]
         self.confidence[pick] = top / np.maximum(top + second, 1e-9)
-        # a whole sentence: enough words, or enough characters where words aren't apart
-        self.whole = (self.lang >= 0) & ((s.words >= 4) & (s.letters >= LETTERS) & (s.wide * 4 < s.letters) | (s.wide >= 8) & (s.wide * 2 > s.letters))
+        # a whole sentence: enough words, or enough characters where words aren't apart, and far ahead of the next language
+        ahead = np.zeros(len(s.letters), bool)
+        ahead[pick] = top >= SURE * second
+        self.whole = (self.lang >= 0) & ahead & ((s.words >= 4) & (s.letters >= LETTERS) & (s.wide * 4 < s.letters) | (s.wide >= 8) & (s.wide * 2 > s.letters))
 
     def per_text(self, least: int = LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text: its language (-1 if it is far from all), the languages with a whole sentence, its letters,
