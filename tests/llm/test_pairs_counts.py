@@ -1,0 +1,24 @@
+import pytest
+from pyspark.sql import functions as F
+
+from turnloom.llm.pairs import fit_endings, is_truncated
+
+
+@pytest.fixture(scope="module")
+def endings(spark):
+    """40,000 replies; ten of them have a beginning that nothing else has."""
+    text = F.when(F.col("id") % 4000 == 7, "榴莲核桃可以煮汤。").otherwise("饮食要清淡，平时少吃火锅。")
+    rows = spark.range(40_000).select("id", text.alias("reply"))
+    return fit_endings(rows.unionByName(rows.where("id % 4000 = 7")), "id", "reply")
+
+
+def test_counts_of_all_replies(endings):
+    """Rows delivered twice count once; no reply is left out."""
+    got = {r.id: r for r in endings.counts.where(F.col("id").isin("K\x1e0\x1f榴\x1f莲\x1f核\x1f桃", "S\x1e清")).collect()}
+    rare = got["K\x1e0\x1f榴\x1f莲\x1f核\x1f桃"]
+    assert (rare.n, rare.final, rare.endings, sorted(rare.always)) == (10, 10, 1, sorted("榴莲核桃可以煮汤"))
+    assert got["S\x1e清"].n == 39_990
+
+
+def test_rare_beginning_is_known(endings):
+    assert is_truncated("榴莲核桃可以", endings) and not is_truncated("榴莲核桃可以煮汤", endings)

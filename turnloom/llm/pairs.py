@@ -14,8 +14,8 @@ For every reply one of
 They are looked for in this order and the first one counts, so no reply has two.
 Whether a reply without a final stop is a whole sentence is told by what whole
 sentences of the corpus look like: how the clauses with the same beginning end,
-and what they always contain (``Endings``).  That model, and nothing else, is
-fitted on a bounded sample (``SAMPLE`` replies).
+and what they always contain (``Endings``).  That is counted over all replies; the
+counts stay in a table, and each clause in question is joined with those it needs.
 
 Replies to a null prompt have no defect.  Complete tool calls have none.  Texts
 of any length are aligned whole (the longest common subsequence only where the
@@ -27,22 +27,18 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.batches import text_chunks
 from turnloom.llm.langid import _BY_NAME, CLEAR, LANGUAGES, Judged, Model
-from turnloom.session import map_batches
-
-#: Replies that the model of endings is fitted on, at most.
-SAMPLE = 12_000
+from turnloom.session import cut, map_batches
 
 # What stands where a reply is missing.
 PLACEHOLDERS = set(
@@ -226,110 +222,214 @@ def _last(u: tuple[str, ...]) -> str:
     return u[-1][-2:]
 
 
+#: Between the units of a clause, and between the parts of the name of a count; neither occurs in a unit.
+_SEP, _OF = "\x1f", "\x1e"
+#: Different clauses that a task counts before it hands the counts on.
+_HELD = 200_000
+
+
+def clause_counts(texts: list[str | None], counts: Counter) -> None:
+    """Adds the clauses of the whole sentences of replies that are no tool calls: (a later one of its sentence, its
+    last one, units)."""
+    for text in texts:
+        if text is None or broken_call(text) is not None:
+            continue
+        for m in _SENTENCE.finditer(text):
+            sentence = m.group()
+            if not sentence or sentence[-1] not in "。！？!?.\n":
+                continue
+            parts = clauses(_MARKER.sub("", sentence))
+            for k, part in enumerate(parts):
+                counts[k > 0, k == len(parts) - 1, part] += 1
+
+
+def _counted(replies: DataFrame, text: str) -> DataFrame:
+    """``later``, ``last``, ``u`` (the units), ``end`` and ``two`` (the last unit's end, the last two units) and ``n`` of
+    every different clause of all replies."""
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        out: Counter = Counter()
+        for (later, last, part), n in counts.items():
+            u = units(part)
+            if u:
+                out[later, last, _SEP.join(u), _last(u), _last_two(u)] += n
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(out.values(), pa.int64())], names=["later", "last", "u", "end", "two", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for chunk in text_chunks(batches, 0, size=1 << 20):
+            clause_counts(chunk.column(0).to_pylist(), counts)
+            if len(counts) > _HELD:
+                yield rows(counts)
+                counts = Counter()
+        yield rows(counts)
+
+    parts = map_batches(replies.select(text), run, "later boolean, last boolean, u string, end string, two string, n bigint")
+    return parts.groupBy("later", "last", "u", "end", "two").agg(F.sum("n").alias("n")).withColumn("u", F.split("u", _SEP))
+
+
+def _id(kind: str, *parts: Column | str) -> Column:
+    return F.concat_ws(_OF, F.lit(kind), *parts)
+
+
+def _beginnings(u: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.least(F.lit(Endings.DEPTH), F.size(u))), lambda d: F.array_join(F.slice(u, 1, d), _SEP))
+
+
+def _pairs_of(u: Column) -> Column:
+    """Every two neighbouring units."""
+    return F.transform(F.slice(u, 2, F.size(u)), lambda x, k: F.concat(F.get(u, k), F.lit(_SEP), x))
+
+
+def ending_counts(replies: DataFrame, text: str) -> DataFrame:
+    """All counts that ``Endings`` asks for, over all replies, by ``id``: of a beginning (``K``) how often clauses have
+    it, how often those are the last, how many different endings these have and what units ``always``; its last units
+    (``E``, ``L``); units and pairs of units (``S``), those before a stop (``P``); beginnings of words (``W``)."""
+    c = _counted(replies, text)
+    key = F.transform(_beginnings(F.col("u")), lambda b: F.concat(F.col("later").cast("int").cast("string"), F.lit(_SEP), b))
+    c = c.withColumn("keys", key)
+    none = F.array().cast("array<string>")
+    feature = F.concat(F.transform("keys", lambda k: _id("K", k)), F.transform("u", lambda x: _id("S", x)), F.transform(_pairs_of(F.col("u")), lambda x: _id("S", x)))
+    stop = F.concat(F.array(_id("P", F.element_at("u", -1))), F.when(F.size("u") > 1, F.array(_id("P", F.array_join(F.slice("u", -2, 2), _SEP)))).otherwise(none))
+    ends = F.concat(F.transform("keys", lambda k: _id("F", k)), F.transform("keys", lambda k: _id("E", k, "end")), F.transform("keys", lambda k: _id("L", k, "two")))
+    has = F.flatten(F.transform("keys", lambda k: F.transform(F.array_distinct("u"), lambda x: _id("H", k, x))))
+    every = F.concat(feature, F.when(F.col("last"), F.concat(stop, ends, has)).otherwise(none))
+    n = cut(c.select(F.explode(every).alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n")))  # read several times below
+    kind, of = F.substring("id", 1, 1), F.split("id", _OF)
+    n = n.select("id", "n", kind.alias("kind"), F.get(of, 1).alias("key"), F.get(of, 2).alias("unit"))
+    known = n.where("kind in ('K', 'F', 'L')").groupBy("key").agg(F.sum(F.when(F.col("kind") == "K", F.col("n"))).alias("n"), F.coalesce(F.sum(F.when(F.col("kind") == "F", F.col("n"))), F.lit(0)).alias("final"), F.count_if(F.col("kind") == "L").alias("endings"))
+    finals = n.where("kind = 'F'").select("key", F.col("n").alias("final"))
+    always = n.where("kind = 'H'").join(finals, "key").where(F.col("n") >= F.lit(0.98) * F.col("final")).groupBy("key").agg(F.collect_list("unit").alias("always"))
+    known = known.join(always, "key", "left").select(_id("K", "key").alias("id"), "n", "final", "endings", F.coalesce("always", none).alias("always"))
+    words = n.where((F.col("kind") == "S") & (F.col("n") >= 5) & ~F.contains("key", F.lit(_SEP)) & (F.length("key") > 1))
+    words = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda k: F.col("key").substr(F.lit(1), k))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    plain_ = lambda d, i: d.select(i.alias("id"), "n", F.lit(None).cast("bigint").alias("final"), F.lit(None).cast("bigint").alias("endings"), F.lit(None).cast("array<string>").alias("always"))
+    return known.unionByName(plain_(n.where("kind in ('E', 'L', 'S', 'P')"), F.col("id"))).unionByName(plain_(words, _id("W", "w")))
+
+
 class Endings:
     """What whole sentences end like: for the clauses of one beginning (the first or a later one of a sentence), how
-    often they are the last, their last units, and the units that all of them have."""
+    often they are the last, their last units, and the units that all of them have.  ``counts`` has that of all replies
+    (``ending_counts``); only what is asked for is looked up, by a join."""
 
     DEPTH, LEAST = 4, 8
 
-    def __init__(self, texts: list[str]):
-        self.total: Counter = Counter()
-        self.final: Counter = Counter()
-        self.ends: dict = defaultdict(Counter)
-        self.last: dict = defaultdict(Counter)
-        self.has: dict = defaultdict(Counter)
-        self.stop: Counter = Counter()
-        self.seen: Counter = Counter()
-        for text in texts:
-            for m in _SENTENCE.finditer(text):
-                sentence = m.group()
-                if not sentence or sentence[-1] not in "。！？!?.\n":
-                    continue
-                parts = clauses(_MARKER.sub("", sentence))
-                for k, part in enumerate(parts):
-                    u = units(part)
-                    if not u:
-                        continue
-                    last = k == len(parts) - 1
-                    for d in range(1, min(self.DEPTH, len(u)) + 1):
-                        key = (k > 0, u[:d])
-                        self.total[key] += 1
-                        if last:
-                            self.final[key] += 1
-                            self.ends[key][_last(u)] += 1
-                            self.last[key][_last_two(u)] += 1
-                            self.has[key].update(set(u))
-                    for n in (1, 2):
-                        for a in range(len(u) - n + 1):
-                            self.seen[u[a : a + n]] += 1
-                    if last:
-                        self.stop[u[-1:]] += 1
-                        if len(u) > 1:
-                            self.stop[u[-2:]] += 1
-        keep = {k for k, n in self.total.items() if n >= self.LEAST}
-        closed = lambda k: frozenset(self.last[k]) if self.final[k] >= 40 and len(self.last[k]) <= 0.12 * self.final[k] else None
-        self.known = {k: (n, self.final[k], self.ends[k], frozenset(x for x, m in self.has[k].items() if m >= 0.98 * self.final[k]), closed(k)) for k, n in self.total.items() if k in keep}
-        self.started = {k for k, n in self.total.items() if n >= 2}
-        self.words = sorted(w[0] for w, n in self.seen.items() if len(w) == 1 and len(w[0]) > 1 and n >= 5)
-        del self.total, self.final, self.ends, self.has, self.last
-
-    def whole(self, text: str) -> bool:
-        """Whether a text that doesn't end with a stop ends with a whole sentence or item."""
-        line = text.rstrip().rsplit("\n", 1)[-1]
-        item = bool(_MARKER.match(line))
-        tail = [m.group() for m in _SENTENCE.finditer(_MARKER.sub("", line)) if m.group().strip()]
-        if not tail:
-            return not item  # a list marker without its item
-        parts = clauses(tail[-1])
-        if not parts:
-            return True
-        u, later = units(parts[-1]), len(parts) > 1
-        if not u:
-            return True
-        short = len(tail) == 1 and not later and "\n" not in text.strip()
-        if short:
-            # a few letters, or words in an order that sentences don't have, are a short answer
-            odd = any(self.seen[u[k : k + 2]] <= min(self.seen[u[k : k + 1]], self.seen[u[k + 1 : k + 2]]) // 1000 + 2 <= 0.05 * min(self.seen[u[k : k + 1]], self.seen[u[k + 1 : k + 2]]) for k in range(len(u) - 1))
-            if odd or len(plain(text)) < 6:
-                return True
-        depth = 0
-        for d in range(1, min(self.DEPTH, len(u)) + 1):
-            if (later, u[:d]) in self.known:
-                depth = d
-        if self._part_of_word(u[-1]):
-            return False
-        new = depth < min(self.DEPTH, len(u)) and (later, u[: depth + 1]) not in self.started and depth < 3
-        if not depth or new or short and depth < 2 and u[0].isascii():
-            return short and (not depth or u[0].isascii() or len(u) == 1) or self._suffix(u)
-        total, final, ends, always, closed = self.known[later, u[:depth]]
-        if final < 0.03 * total:
-            return short and self._suffix(u)
-        if not always <= set(u):
-            return False
-        if closed is not None:
-            return _last_two(u) in closed
-        above = self.known[later, u[: depth - 1]] if depth > 2 else (0, 0, ends, always, None)
-        if above[4] is not None:
-            return _last_two(u) in above[4]
-        return ends[_last(u)] > 0 or above[2][_last(u)] > 1
-
-    def _part_of_word(self, w: str) -> bool:
-        """Whether a word that no sentence has is the beginning of one that many have."""
-        if not w.isascii() and len(w) < 2 or w == "#" or self.seen[(w,)]:
-            return False
-        at = bisect_left(self.words, w)
-        return at < len(self.words) and self.words[at].startswith(w)
-
-    def _suffix(self, u: tuple[str, ...]) -> bool:
-        """By the last units alone: whether they ever end a sentence."""
-        for n, least, share in ((2, 12, 0.02), (1, 40, 0.01)):
-            s = u[-n:]
-            if len(s) == n and self.seen[s] >= least:
-                return self.stop[s] >= share * self.seen[s]
+    def __init__(self, counts: DataFrame):
+        self.counts, self.kept = counts, False
+
+    def verdicts(self, questions: DataFrame) -> DataFrame:
+        """``question`` and ``whole`` of every different question of a column ``question``."""
+        asked = map_batches(questions.select("question").distinct(), _lookups, "question string, id string")
+        facts = F.collect_list(F.struct("id", "n", "final", "endings", "always"))
+        found = asked.join(self.counts, "id", "left").groupBy("question").agg(facts.alias("facts"))
+        return map_batches(found, _answers, "question string, whole boolean")
+
+    def verdict(self, question: str) -> bool:
+        """Of one question."""
+        if not self.kept:  # asked again and again
+            self.counts, self.kept = cut(self.counts), True
+        return self.verdicts(self.counts.sparkSession.createDataFrame([(question,)], "question string")).first().whole
+
+
+def ending_question(text: str) -> bool | str:
+    """Whether a text that doesn't end with a stop ends with a whole sentence or item; where only the corpus can tell,
+    what it is asked: whether the clause is a later one, whether it is all of a short reply, its units."""
+    line = text.rstrip().rsplit("\n", 1)[-1]
+    item = bool(_MARKER.match(line))
+    tail = [m.group() for m in _SENTENCE.finditer(_MARKER.sub("", line)) if m.group().strip()]
+    if not tail:
+        return not item  # a list marker without its item
+    parts = clauses(tail[-1])
+    if not parts:
         return True
+    u, later = units(parts[-1]), len(parts) > 1
+    if not u:
+        return True
+    short = len(tail) == 1 and not later and "\n" not in text.strip()
+    if short and len(plain(text)) < 6:
+        return True  # a few letters are a short answer
+    return _SEP.join((str(int(later)), str(int(short)), *u))
+
+
+def _asked(question: str) -> tuple[bool, bool, tuple[str, ...]]:
+    later, short, *u = question.split(_SEP)
+    return later == "1", short == "1", tuple(u)
+
+
+def _names(question: str) -> set[str]:
+    """The ids of the counts that a question needs."""
+    later, short, u = _asked(question)
+    keys = [_SEP.join((str(int(later)), *u[:d])) for d in range(1, min(Endings.DEPTH, len(u)) + 1)]
+    names = {f"K{_OF}{k}" for k in keys} | {f"E{_OF}{k}{_OF}{_last(u)}" for k in keys} | {f"L{_OF}{k}{_OF}{_last_two(u)}" for k in keys}
+    seen = range(len(u)) if short else range(max(len(u) - 2, 0), len(u))
+    names |= {f"S{_OF}{_SEP.join(u[k : k + n])}" for k in seen for n in (1, 2)}
+    return names | {f"P{_OF}{_SEP.join(u[-n:])}" for n in (1, 2)} | {f"W{_OF}{u[-1]}"}
+
+
+def _lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk in text_chunks(batches, 0, size=1 << 18):
+        rows = [(q, i) for q in chunk.column(0).to_pylist() for i in _names(q)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["question", "id"])
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        qs = batch.column(0).to_pylist()
+        said = [ends_whole(q, {f["id"]: f for f in facts if f["n"] is not None}) for q, facts in zip(qs, batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(qs, pa.string()), pa.array(said, pa.bool_())], names=["question", "whole"])
+
+
+def ends_whole(question: str, facts: dict[str, dict]) -> bool:
+    """Whether the clause of a question ends a sentence, by the counts it needs."""
+    later, short, u = _asked(question)
+    n = lambda *name: facts[i]["n"] if (i := _OF.join(name)) in facts else 0
+    seen = lambda *w: n("S", _SEP.join(w))
+    of = lambda d: _SEP.join((str(int(later)), *u[:d]))
+    if short:
+        # words in an order that sentences don't have are a short answer
+        if any(seen(a, b) <= min(seen(a), seen(b)) // 1000 + 2 <= 0.05 * min(seen(a), seen(b)) for a, b in zip(u, u[1:], strict=False)):
+            return True
+    depth = 0
+    for d in range(1, min(Endings.DEPTH, len(u)) + 1):
+        if n("K", of(d)) >= Endings.LEAST:
+            depth = d
+    if not (not u[-1].isascii() and len(u[-1]) < 2 or u[-1] == "#" or seen(u[-1])) and n("W", u[-1]):
+        return False  # a word that no sentence has is the beginning of one that many have
+    new = depth < min(Endings.DEPTH, len(u)) and n("K", of(depth + 1)) < 2 and depth < 3
+    if not depth or new or short and depth < 2 and u[0].isascii():
+        return short and (not depth or u[0].isascii() or len(u) == 1) or _suffix(u, n)
+    at = facts[f"K{_OF}{of(depth)}"]
+    if at["final"] < 0.03 * at["n"]:
+        return short and _suffix(u, n)
+    if not set(at["always"]) <= set(u):
+        return False
+    closed = lambda f: f["final"] >= 40 and f["endings"] <= 0.12 * f["final"]
+    if closed(at):
+        return n("L", of(depth), _last_two(u)) > 0
+    if depth > 2 and closed(facts[f"K{_OF}{of(depth - 1)}"]):
+        return n("L", of(depth - 1), _last_two(u)) > 0
+    return n("E", of(depth), _last(u)) > 0 or n("E", of(depth - 1 if depth > 2 else depth), _last(u)) > 1
+
+
+def _suffix(u: tuple[str, ...], n: Callable[..., int]) -> bool:
+    """By the last units alone: whether they ever end a sentence."""
+    for k, least, share in ((2, 12, 0.02), (1, 40, 0.01)):
+        s = _SEP.join(u[-k:])
+        if len(u) >= k and n("S", s) >= least:
+            return n("P", s) >= share * n("S", s)
+    return True
 
 
 def is_truncated(text: str, endings: Endings) -> bool:
+    """Of one text; ``broken_replies`` asks the corpus for all of them at once."""
+    q = breaks_off(text)
+    return q if isinstance(q, bool) else not endings.verdict(q)
+
+
+def breaks_off(text: str) -> bool | str:
+    """Whether a text breaks off, or the question that decides it: if not whole, it does."""
     body = text.rstrip()
     while True:
         less = _CLOSING.sub("", body)
@@ -342,7 +442,8 @@ def is_truncated(text: str, endings: Endings) -> bool:
         return True
     if body[-1] in _END + "）)”\"'’」』】》>…`*|~～":
         return body[-1] == "." and bool(re.search(r"(?:^|\n)\s*\d{1,3}\.$", body))
-    return not endings.whole(body)
+    q = ending_question(body)
+    return not q if isinstance(q, bool) else q
 
 
 # Words that ask for a reply in a language, after or before its name.
@@ -354,9 +455,11 @@ def asked_languages(prompt: str) -> set[str]:
     return {_BY_NAME[m.group().lower()] for m in _NAMES.finditer(prompt)} if _ASKS.search(prompt) else set()
 
 
-def defects(prompts: list[str | None], replies: list[str | None], endings: Endings, model: Model) -> list[str | None]:
-    """The defect of each reply, None if it has none."""
+def defects(prompts: list[str | None], replies: list[str | None], model: Model) -> tuple[list[str | None], list[str | None]]:
+    """The defect of each reply, None if it has none; and the question on its ending, None where that is certain.  If
+    the answer is that it isn't whole, the reply is ``truncated`` instead."""
     out: list[str | None] = [None] * len(replies)
+    questions: list[str | None] = [None] * len(replies)
     prose: list[int] = []
     for k, (p, r) in enumerate(zip(prompts, replies, strict=True)):
         if p is None:
@@ -369,9 +472,10 @@ def defects(prompts: list[str | None], replies: list[str | None], endings: Endin
             out[k] = "refusal"
         elif is_copy(p, r):
             out[k] = "copy"
-        elif is_truncated(r, endings):
+        elif (q := breaks_off(r)) is True:
             out[k] = "truncated"
         else:
+            questions[k] = q or None
             prose.append(k)
     if prose:
         asked, said = Judged(model, [prompts[k] for k in prose]), Judged(model, [replies[k] for k in prose])
@@ -384,30 +488,28 @@ def defects(prompts: list[str | None], replies: list[str | None], endings: Endin
                 continue  # the prompt is too short to tell
             if LANGUAGES[lang] not in asked_languages(prompts[k]):
                 out[k] = "other_language"
-    return out
+    return out, questions
 
 
-def fit_endings(replies: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Endings:
-    """From at most ``sample`` replies, those with the smallest hash of the key."""
-    rows = replies.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)
-    total = rows.count()
-    share = min(1.0, 1.5 * sample / max(total, 1))  # so that few rows reach the sort, however many there are
-    nth = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 30))
-    picked = rows.withColumn("nth", nth).where(F.col("nth") < int(share * (1 << 30))).orderBy("nth", text).limit(sample).collect()
-    return Endings([r[1] for r in picked if broken_call(r[1]) is None])
+def fit_endings(replies: DataFrame, key: str, text: str) -> Endings:
+    """From all replies; a reply delivered twice counts once."""
+    rows = replies.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text).distinct()
+    return Endings(ending_counts(rows, text))
 
 
 def broken_replies(pairs: DataFrame, endings: Endings, model: Model, key: str = "rec_id", prompt: str = "prompt", reply: str = "reply", field: str = "fld") -> DataFrame:
     """``key``, ``field`` and ``defect`` of every reply with a defect."""
     kind = pairs.schema[key].dataType.simpleString()
-    shared = pairs.sparkSession.sparkContext.broadcast((endings, model))
+    shared = pairs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, langs = shared.value
         for chunk in text_chunks(batches, 2, 3, size=1 << 20):
-            found = defects(chunk.column(2).to_pylist(), chunk.column(3).to_pylist(), ends, langs)
-            place = pa.array([k for k, d in enumerate(found) if d], pa.int64())
-            yield pa.RecordBatch.from_arrays([chunk.column(0).take(place), chunk.column(1).take(place), pa.array([d for d in found if d], pa.string())], names=[key, field, "defect"])
+            found, asked = defects(chunk.column(2).to_pylist(), chunk.column(3).to_pylist(), shared.value)
+            at = [k for k, d in enumerate(found) if d or asked[k]]
+            place = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([chunk.column(0).take(place), chunk.column(1).take(place), pa.array([found[k] for k in at], pa.string()), pa.array([asked[k] for k in at], pa.string())], names=[key, field, "defect", "question"])
 
     rows = pairs.select(key, field, prompt, reply).where(F.col(key).isNotNull() & F.col(prompt).isNotNull())
-    return map_batches(rows, run, f"`{key}` {kind}, `{field}` string, defect string").distinct()
+    found = cut(map_batches(rows, run, f"`{key}` {kind}, `{field}` string, defect string, question string"))
+    told = found.join(endings.verdicts(found.where("question is not null")), "question", "left")
+    return told.select(key, field, F.when(~F.col("whole"), "truncated").otherwise(F.col("defect")).alias("defect")).where("defect is not null").distinct()

@@ -74,9 +74,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = tc.select(F.col("pref_id").alias("rec_id"), last_human_turn().alias("prompt"), both.alias("x")).select("rec_id", "x.fld", "prompt", "x.reply")
     replies = qa.select(F.col("qa_id").alias("rec_id"), F.col("answer").alias("reply")).unionByName(turns.select("rec_id", "reply"))
     endings = fit_endings(replies, "rec_id", "reply")
-    answers = broken_replies(qa.select(*asked[1:]), endings, model).withColumn("src", F.lit("qa_sample"))
-    chosen = broken_replies(turns, endings, model).withColumn("src", F.lit("toolcall_dpo_zh_demo"))
-    return answers.unionByName(chosen).select("src", "rec_id", "fld", "defect")
+    chosen = turns.select(F.lit("toolcall_dpo_zh_demo").alias("src"), "rec_id", "fld", "prompt", "reply")
+    both = qa.select(*asked).unionByName(chosen).withColumn("fld", F.concat_ws("/", "src", "fld"))  # the field within its table
+    found = broken_replies(both, endings, model)
+    return found.select(F.split_part("fld", F.lit("/"), F.lit(1)).alias("src"), "rec_id", F.split_part("fld", F.lit("/"), F.lit(2)).alias("fld"), "defect")
 
 
 def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
