@@ -55,6 +55,11 @@ def roles_with_tools(spark, d):
     return C.normalized_roles(t, "qwen", format_tools=True)
 
 
+def roles_with_tools_whole(spark, d):
+    """All turns, calls as well as results, in the qwen dialect."""
+    return C.normalized_roles(turns(spark, d), "qwen", format_tools=True)
+
+
 def call_turns(spark, d):
     """Calls of the turns in the default dialect, read again from their text."""
     t = C.normalized_roles(turns(spark, d).where("role = 'function_call'"), "default", format_tools=True)
@@ -259,6 +264,7 @@ QUERIES = {
     "conv_pairs_keep_open": (conv_pairs_keep_open, f"WITH {TURNS} SELECT * FROM open_pairs"),
     "conv_turns": (conv_turns, f"WITH {TURNS} SELECT * FROM turns"),
     "roles_normalized": (roles_normalized, f"WITH {TURNS} SELECT * FROM norm"),
+    "roles_with_tools_whole": (roles_with_tools_whole, None),
     "roles_with_tools": (roles_with_tools, f"WITH {TURNS} SELECT conv_id, turn, CASE WHEN role = 'gpt' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN role = 'observation' THEN '<tool_response>' || chr(10) || text || chr(10) || '</tool_response>' ELSE text END AS text FROM turns WHERE role IN ('human', 'gpt', 'observation')"),
     "call_turns": (call_turns, f"WITH {TURNS} SELECT conv_id, turn, true AS is_call, json_extract_string(text, '$.name') AS name FROM turns WHERE role = 'function_call'"),
     "system_prompts": (system_prompts, f"WITH {TURNS} SELECT * FROM systems"),
