@@ -87,6 +87,10 @@ def text_md5(spark, d):
     return _docs(spark, d).select("doc_id", X.head_md5(F.encode("text", "UTF-8"), 64).alias("hash"))
 
 
+def text_md5_whole(spark, d):
+    return _docs(spark, d).select("doc_id", X.head_md5(F.encode("text", "UTF-8")).alias("hash"))
+
+
 def sentence_chunks(spark, d):
     chunks = CH.sentence_chunks(F.col("text"), 250)
     return _docs(spark, d).where("text is not null").select("doc_id", F.posexplode(chunks).alias("chunk_no", "chunk"))
@@ -200,6 +204,7 @@ QUERIES = {
 q AS (SELECT qa_id, list_filter(list_transform(l, lambda x: {_stripped('''CASE WHEN contains(x, '.') THEN substr(x, strpos(x, '.') + 1) ELSE x END''')}), lambda x: x <> '') AS l FROM p)
 SELECT qa_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS item FROM (SELECT qa_id, l, unnest(range(1, len(l) + 1)) AS i FROM q)""",
     ),
+    "text_md5_whole": (text_md5_whole, "SELECT doc_id, md5(array_slice(encode(text), 1, 1048576)) AS hash FROM documents"),
     "text_md5": (text_md5, "SELECT doc_id, md5(array_slice(encode(text), 1, 64)) AS hash FROM documents"),
     "sentence_chunks": (sentence_chunks, f"WITH {_SENTENCES} SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, chunks[i] AS chunk FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM k)"),
     "sentence_chunks_overlap": (sentence_chunks_overlap, f"WITH {_SENTENCES} SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, CASE WHEN i < len(chunks) THEN {_stripped('''chunks[i] || ' ' || left(chunks[i + 1], 50)''')} ELSE chunks[i] END AS chunk FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM k)"),
