@@ -326,14 +326,23 @@ def document_languages(docs: DataFrame, model: Model, key: str, text: str) -> Da
 
 def language_segments(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     """Runs of sentences in one language: ``key``, ``start`` and ``stop`` (code points from 0), ``lang``,
-    ``confidence``.  Sentences without a language belong to the run they are in."""
+    ``confidence``.  Sentences without a language belong to the run they are in.  A text without a whole sentence is one
+    segment in its language, if it has one."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, 1, size=1 << 20):
-            j = Judged(shared.value, chunk.column(1).to_pylist(), composed=False)
+            texts = chunk.column(1).to_pylist()
+            j = Judged(shared.value, texts, composed=False)
             at = np.flatnonzero(j.whole)
+            rest = np.setdiff1d(np.arange(len(texts)), j.s.text[at])
+            if len(rest):
+                main, _, _, sure = Judged(shared.value, [texts[k] for k in rest.tolist()]).per_text()
+                told = np.flatnonzero(main >= 0)
+                here = rest[told]
+                cols = [chunk.column(0).take(pa.array(here)), pa.array(np.zeros(len(here), np.int64)), pa.array([len(texts[k]) for k in here.tolist()], pa.int64()), pa.array([LANGUAGES[k] for k in main[told].tolist()], pa.string()), pa.array(sure[told].astype(np.float64))]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "start", "stop", "lang", "confidence"])
             if not len(at):
                 continue
             text, lang = j.s.text[at], j.lang[at]

@@ -47,14 +47,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _records(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    """Source and rows (``rec_id``, ``text``) of the same records, each key once; only ``pref_id`` comes twice."""
+    parts = [(src, rows.select(F.col(key).alias("rec_id"), "text").where("rec_id is not null")) for src, key, rows in _labelled(spark, sf_dir)]
+    return [(src, rows.dropDuplicates(["rec_id"]) if src == "toolcall_dpo_zh_demo" else rows) for src, rows in parts]
+
+
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_languages(table(spark, sf_dir, "lang_reference"))
-    return document_languages(table(spark, sf_dir, "documents"), model, "doc_id", "text")
+    return reduce(DataFrame.unionByName, [document_languages(rows, model, "rec_id", "text").select(F.lit(src).alias("src"), "*") for src, rows in _records(spark, sf_dir)])
 
 
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_languages(table(spark, sf_dir, "lang_reference"))
-    return language_segments(table(spark, sf_dir, "documents"), model, "doc_id", "text")
+    return reduce(DataFrame.unionByName, [language_segments(rows, model, "rec_id", "text").select(F.lit(src).alias("src"), "*") for src, rows in _records(spark, sf_dir)])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
