@@ -108,6 +108,19 @@ def look_alike_classes() -> dict[str, list[str]]:
     return c.members()
 
 
+def _ranges(chars: set[str]) -> list[tuple[str, str]]:
+    """First and last of every run of code points; what lies above the basic plane is one run.  A class of single
+    characters there would be tried one by one at every character of a text; a character within a run that is in no
+    class is left as it is by the automaton."""
+    out: list[tuple[str, str]] = []
+    for ch in sorted(chars):
+        if out and (ord(ch) == ord(out[-1][1]) + 1 or out[-1][0] > "\uffff"):
+            out[-1] = (out[-1][0], ch)
+        else:
+            out.append((ch, ch))
+    return out
+
+
 class Rewriter:
     """Rewrites text so that every member of a class becomes the representative."""
 
@@ -119,8 +132,7 @@ class Rewriter:
         for m, r in self.change.items():
             self.automaton.add_word(m, (len(m), r))
         self.automaton.make_automaton()
-        chars = sorted({ch for m in self.change for ch in m})
-        self.suspects = re.compile("[" + "".join(map(re.escape, chars)) + "]+")
+        self.suspects = re.compile("[" + "".join(f"{re.escape(a)}-{re.escape(b)}" for a, b in _ranges({ch for m in self.change for ch in m})) + "]+")
         self.memo: dict[str, str] = {}
 
     def _run(self, found: re.Match) -> str:
