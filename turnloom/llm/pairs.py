@@ -3,23 +3,19 @@
 For every reply one of
 
 * ``empty``: null, nothing visible, or only a placeholder, mark-up, punctuation;
-* ``refusal``: aligned with the refusal templates by longest common subsequence,
-  a template lies in it and nothing but politeness remains;
-* ``copy``: aligned with the prompt by shingle containment, and where that isn't
-  decisive by longest common subsequence: nothing but the prompt, perhaps
-  slightly changed, framed or repeated;
-* ``truncated``: breaks off inside a tool call, a list or a sentence;
+* ``refusal``: aligned with templates of declining (``refusals``);
+* ``copy``: aligned with the prompt: the shingles of three tokens it shares with
+  it, and where these leave it open the longest common subsequence of tokens, or
+  of letters where words are misspelt: nothing but the prompt, perhaps slightly
+  changed, framed or repeated;
+* ``truncated``: breaks off inside a tool call, a list or a sentence; whether a
+  reply without a final stop is whole is told by the sentences of all replies
+  (``endings``);
 * ``other_language``: in a language that the prompt neither uses nor asks for.
 
 They are looked for in this order and the first one counts, so no reply has two.
-Whether a reply without a final stop is a whole sentence is told by what whole
-sentences of the corpus look like: how the clauses with the same beginning end,
-and what they always contain (``Endings``).  That is counted over all replies; the
-counts stay in a table, and each clause in question is joined with those it needs.
-
 Replies to a null prompt have no defect.  Complete tool calls have none.  Texts
-of any length are aligned whole (the longest common subsequence only where the
-containment of shingles leaves it open).  A key given twice counts once.
+of any length are aligned whole.  A key given twice counts once.
 """
 
 from __future__ import annotations
@@ -27,62 +23,41 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.batches import text_chunks
+from turnloom.llm.endings import Units, answered, questions
 from turnloom.llm.langid import _BY_NAME, CLEAR, LANGUAGES, Judged, Model
-from turnloom.session import cut, map_batches
-
-# What stands where a reply is missing.
-PLACEHOLDERS = set(
-    "null none nil nan na n/a undefined empty blank tbd tba todo "
-    "无 略 空 暂无 暂无回答 暂无答案 暂无回复 没有 没有回答 无回答 无答案 待补充 待回答 未填写 空白 省略 同上 なし 無し".split()
-) | {"no answer", "no response", "no reply", "not available"}
-
-# What refusals say.
-REFUSALS = [
-    "我无法回答这个问题", "我不能回答这个问题", "这超出了我的服务范围", "超出了我的能力范围", "这类内容我不便讨论", "不如我们聊点别的", "换个话题吧",
-    "我不能就此提供任何意见", "无法提供相关信息", "恕难从命", "此话题不在我可以交流的范围之内", "我只是一个语言模型，不了解这方面的情况",
-    "作为人工智能助手，我没有资格对此作出判断", "作为一个人工智能，我无法提供医疗建议", "我这边没有办法给您答复", "出于安全考虑，暂不提供相关内容",
-    "这件事还是去问专业的人吧", "这个忙我不帮", "这个问题我帮不上忙", "该请求不符合使用规范，因此不予回应", "目前我还不具备处理该请求的能力",
-    "请原谅我对此保持沉默", "请另请高明", "我没有能力处理这个请求", "我拒绝回答", "无可奉告", "我不便回答", "不能帮您处理这件事", "我不会回答这个问题",
-    "I can't help with that", "I cannot help with that", "I cannot answer that", "I can't answer this question", "I am unable to assist with that",
-    "That is something I am unable to assist with", "I won't be able to fulfil this request", "I can't provide medical advice",
-    "As an AI model, I am not able to give advice on this", "As an AI language model I cannot", "I'd rather not respond to this topic",
-    "My guidelines do not allow me to reply to this question", "this request is outside what I can discuss", "For safety reasons this stays unanswered",
-    "You would have to ask somebody qualified; I will leave it there", "I don't have the ability to handle this", "No comment can be provided on this matter",
-    "Let's talk about something else instead", "I must decline to answer", "I refuse to answer this", "I am not allowed to discuss this",
-    "Je ne peux pas répondre à cette question", "Je ne peux pas vous aider", "Das kann ich leider nicht beantworten", "Dabei kann ich nicht helfen",
-    "No puedo responder a esta pregunta", "No puedo ayudarle con eso", "Я не могу ответить на этот вопрос", "Я не могу с этим помочь",
-    "その質問にはお答えできません", "お手伝いできません",
-]
-
-# Politeness around a refusal or after an answer.
-POLITE = [
-    "很抱歉", "非常抱歉", "抱歉", "对不起", "不好意思", "非常遗憾", "很遗憾", "感谢提问", "不过", "建议您换个问题", "感谢您的理解", "如有其他需要请随时告诉我",
-    "请咨询专业人士", "亲", "您好", "你好", "谢谢", "please consult a professional", "please consult a doctor", "i'm sorry", "i am sorry", "sorry", "apologies",
-    "unfortunately", "thank you for understanding", "thanks for understanding", "thank you", "feel free to ask something else", "but", "i'm afraid", "hello",
-    "please ask something else", "is there anything else", "désolé", "je suis désolé", "leider", "lo siento", "извините", "申し訳ありません", "すみません",
-]
-
-# The words around a repeated prompt.
-FRAMES = re.compile(r"您问的是|你问的是|您的问题是|问题|提问|原问题|问|question|you asked|your question|prompt|query|q", re.I)
-#: What follows a whole answer and is no part of its last sentence.
-_CLOSING = re.compile(r"(?:[（(][^（）()]{2,14}[）)]|祝[^。！!.]{1,8}[～~！!。]?|谢谢[！!。]?|[：:;；]-?[）)]+|[～~☺🙂😊🙏👍🏽✨❗💊🌿🩺😀️]+|\s+)$")
-_TAG = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,6};|&#\d+;|!?\[[^\]]*\]\([^)]*\)")
-_END = "。.!！?？；;"
-_CUT = re.compile(r"(?:…+|\.{2,}|[，、,：:；;（(「『“\-–—])\s*$")
-
+from turnloom.llm.leak import folded, mixed
+from turnloom.llm.refusals import is_refusal
+from turnloom.session import map_batches
 
 _OTHER = re.compile(r"[\W_]+")
+_TAG = re.compile(r"<[^<>]*>|&[a-z]{2,6};|&#\d+;|!?\[[^\]]*\]\([^)]*\)")
+_END = "。.!！?？；;"
+_U = np.uint64
+_ODD = _U(0x9E3779B97F4A7C15)
+_LOW44 = _U((1 << 44) - 1)
+
+# What stands where a reply is missing, and what it is made of.
+_MISSING = re.compile(
+    r"null|none|nil|nan|na|n/a|undefined|empty|blank|void|tb[acd]|todo|fixme|placeholder|"
+    r"(?:no|missing|empty|blank|without|insert|your|enter|type|write|add)(?: an?| the| your| any)? (?:answer|response|reply|data|content|text|output|result|comment|message|value)s?(?: yet| available| given| provided| found| here)?|"
+    r"(?:the )?(?:answer|response|reply|text|content|output)(?: is| was)? (?:missing|pending|empty|not (?:yet )?(?:available|given|provided|found)|(?:goes )?here|(?:will|to) (?:be )?(?:follow|come|added|provided|filled in))|"
+    r"not (?:available|provided|answered|applicable|given|specified|filled in|yet answered)|(?:yet )?to be (?:added|determined|announced|completed|filled in|written|confirmed|done)|coming soon|fill (?:me )?in|lorem ipsum(?: [a-z ]+)?|"
+    r"(?:暂|尚|目前|此处)?(?:无|没有|未有|缺|空)(?:任何|相关)?(?:回答|答案|回复|内容|数据|信息|答复|结果|记录|资料|文本|值)?|(?:暂|尚|目前)无(?:可用)?(?:回答|答案|回复|内容|数据)?|"
+    r"(?:待|未|尚未|等待|有待|请|需)(?:补充|填写|回答|完善|回复|添加|更新|输入|定|处理|编辑|提供|填|补)(?:内容|答案|回答|回复|数据)?|(?:在)?此处?(?:填写|输入|插入|添加)(?:内容|答案|回答|回复|文本)?|"
+    r"空白|省略|略|从略|同上|见上|见上文|如上|占位符?|なし|無し|未回答|未入力|回答なし|該当なし|sin respuesta|sans réponse|pas de réponse|aucune réponse|keine antwort|нет ответа|без ответа|нет данных"
+)
+#: More letters than the longest of them has, but for filler text; and any letter.
+_MORE = re.compile(r"(?![\W_]*lorem\s+ipsum)(?:[\W_]*[^\W_]){41}", re.I)
 _SOME = re.compile(r"[^\W_]")
+_EDGES = " \t()（）[]【】{}<>\"'“”‘’「」.。*_-—~!！?？:：|/\\#`=+,，"
 
 
 def plain(text: str) -> str:
@@ -93,11 +68,14 @@ def plain(text: str) -> str:
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
-    seen = _TAG.sub(" ", text)
-    if len(seen) > 60 and len(plain(seen)) > 20:  # no placeholder is that long
+    if "<" in text or "&" in text or "](" in text:
+        text = _TAG.sub(" ", text)
+    if _MORE.match(text):
         return False
-    seen = "".join(" " if unicodedata.category(ch)[0] in "CZ" else ch for ch in seen).strip().lower()
-    return seen in PLACEHOLDERS or seen.strip("()（）[]【】<>\"'“”.。*_-—~!！?？:： ") in PLACEHOLDERS or not any(ch.isalnum() for ch in seen)
+    if not _SOME.search(text):
+        return True
+    seen = "".join(" " if unicodedata.category(ch)[0] in "CZ" else ch for ch in text).strip(_EDGES).lower()
+    return bool(_MISSING.fullmatch(" ".join(seen.replace("_", " ").split())))
 
 
 _CALL = re.compile(r"^\s*Action\s*:", re.I)
@@ -121,329 +99,187 @@ def broken_call(text: str) -> bool | None:
     except ValueError:
         return raw[:1] in "{[" or not raw
 
-
-_POLITE = tuple(sorted((plain(p) for p in POLITE), key=len, reverse=True))
-
-
-def _bare(body: str) -> str:
-    """Without politeness before and after."""
-    again = True
-    while again and (body.startswith(_POLITE) or body.endswith(_POLITE)):
-        again = False
-        for p in _POLITE:
-            if len(body) > len(p) + 3 and (body.startswith(p) or body.endswith(p)):
-                body, again = body[len(p) :] if body.startswith(p) else body[: -len(p)], True
-    return body
-
-
-_TEMPLATES = [_bare(plain(r)) for r in REFUSALS]
-_TEMPLATE_SIZE = [len({t[k : k + 2] for k in range(len(t) - 1)}) for t in _TEMPLATES]
-#: Two letters to the templates that have them.
-_TEMPLATES_OF: dict[str, list[int]] = defaultdict(list)
-for _n, _t in enumerate(_TEMPLATES):
-    for _g in {_t[_k : _k + 2] for _k in range(len(_t) - 1)}:
-        _TEMPLATES_OF[_g].append(_n)
-#: Letters of a text that may be a refusal, beside those of the template.
-_AROUND = 12
-
-
-def is_refusal(text: str) -> bool:
-    body = plain(text)
-    if len(body) > 200:  # the longest template with politeness on both sides
-        return False
-    body = _bare(body)
-    if len(body) < 4 or len(body) > 110:
-        return False
-    shared = Counter(n for g in {body[k : k + 2] for k in range(len(body) - 1)} for n in _TEMPLATES_OF.get(g, ()))
-    for n, count in shared.items():
-        t = _TEMPLATES[n]
-        if count < 0.7 * _TEMPLATE_SIZE[n] or len(body) > len(t) + max(_AROUND, len(t) // 2):
-            continue
-        common = sum(b.size for b in SequenceMatcher(None, body, t, autojunk=False).get_matching_blocks())
-        if common >= 0.85 * len(t) and len(body) - common <= _AROUND:
-            return True
-    return False
+#: Tokens before the prompt that are its frame, and what may be new after it.
+FRAME, NEW = 6, 3
+#: Shares of the reply: shingles found in the prompt that decide, or leave it open; tokens found that leave it open; the
+#: common subsequence that decides.
+SURE, OPEN, LOOSE, COMMON = 0.9, 0.5, 0.75, 0.8
+
+
+def common(a: Sequence, b: Sequence, *at: int) -> list[int]:
+    """Lengths of the longest common subsequence of ``a`` with ``b``, and with its first ``at`` members; by bit vectors."""
+    where: dict = {}
+    for k, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    v, found = full, {}
+    for k, x in enumerate(b):
+        if k in at:
+            found[k] = len(a) - v.bit_count()
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return [len(a) - v.bit_count(), *(found.get(k, len(a) - v.bit_count()) for k in at)]
+
+
+def _aligned(p: Sequence, t: Sequence) -> bool:
+    """Whether a reply is the prompt, once or again and again, with small changes and nothing new at its end."""
+    again = list(p) * max(1, round(len(t) / len(p)))
+    end = max(len(t) - max(2 * NEW, len(t) // 8), 0)
+    both, before = common(again, t, end)
+    return both >= COMMON * len(t) and both - before >= 0.5 * (len(t) - end)
+
+
+class Tokens:
+    """Tokens of texts one after another, with their text and the first of each text."""
+
+    def __init__(self, hashes: np.ndarray, owner: np.ndarray, count: int):
+        self.hash, self.owner = hashes, owner
+        self.first = np.searchsorted(owner, np.arange(count + 1))
+
+    def keys(self, n: int) -> np.ndarray:
+        """Of every run of n tokens: its text and its hash; 0 where it crosses into another text."""
+        m = max(len(self.hash) - n + 1, 0)
+        h = np.zeros(m, _U)
+        with np.errstate(over="ignore"):
+            for j in range(n):
+                h = h * _ODD + self.hash[j : j + m]
+            key = self.owner[:m].astype(_U) + _U(1) << _U(44) | mixed(h) & _LOW44
+        return np.where(self.owner[:m] == self.owner[n - 1 : n - 1 + m], key, _U(0))
+
+    def digest(self) -> np.ndarray:
+        """A hash of every text's tokens in order."""
+        place = np.arange(len(self.hash)) - self.first[self.owner] if len(self.hash) else np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([[_U(0)], np.cumsum(mixed(self.hash + place.astype(_U) * _ODD), dtype=_U)])
+            return total[self.first[1:]] - total[self.first[:-1]]
+
+    def of(self, k: int) -> list[int]:
+        return self.hash[self.first[k] : self.first[k + 1]].tolist()
+
+
+def _shared(p: Tokens, t: Tokens, n: int) -> np.ndarray:
+    """Of every token of the replies, whether a run of n tokens that begins there is in its prompt."""
+    out = np.zeros(len(t.hash), bool)
+    keys, known = t.keys(n), np.append(np.sort(p.keys(n)), _U(0))
+    out[: len(keys)] = (keys != 0) & (known[np.searchsorted(known[:-1], keys)] == keys)
+    return out
+
+
+def _sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[first[1:]] - total[first[:-1]]
+
+
+def copies(prompts: list[str], replies: list[str]) -> np.ndarray:
+    """Which replies are copies of their prompts."""
+    count = len(replies)
+    a, b = Units(prompts), Units(replies)
+    p, t = Tokens(a.hash, a.text, count), Tokens(b.hash, b.text, count)
+    n, np_ = np.diff(t.first), np.diff(p.first)
+    out = (n > 0) & (n == np_) & (p.digest() == t.digest())
+    hit = _shared(p, t, 3)
+    covered = hit.copy()
+    covered[1:] |= hit[:-1]
+    covered[2:] |= hit[:-2]
+    place = np.arange(len(hit)) - t.first[t.owner] if len(hit) else np.zeros(0, np.int64)
+    head, tail = np.full(count, 1 << 40), np.full(count, -1)
+    np.minimum.at(head, t.owner[covered], place[covered])
+    np.maximum.at(tail, t.owner[covered], place[covered])
+    head = np.where(head <= FRAME, head, 0)
+    tail = n - 1 - tail
+    body = n - head
+    share = _sum(hit, t.first) / np.maximum(body - 2, 1)
+    left = body - _sum(covered, t.first)
+    loose = _sum(_shared(p, t, 1), t.first) / np.maximum(body, 1)
+    fits = (np_ >= 3) & (body >= 3) & (2 * body >= np_) & ~out
+    ends = tail <= np.maximum(NEW, n // 25)
+    out |= fits & (share >= SURE) & (left <= np.maximum(NEW, body // 12)) & ends
+    for k in np.flatnonzero(fits & ~out & ((share >= OPEN) & ends | (loose >= LOOSE))).tolist():
+        out[k] = _aligned(p.of(k), t.of(k)[head[k] :])
+    # words with letters changed are other words: letters, where most tokens are words
+    words = _sum(b.word, t.first) * 2 > n
+    rest = np.flatnonzero(fits & ~out & words & (loose >= 0.2)).tolist()
+    if rest:
+        lp, lt = (Tokens(c[c > 0].astype(_U), o[c > 0], len(rest)) for c, o in (folded([x[k] for k in rest]) for x in (prompts, replies)))
+        near = _sum(_shared(lp, lt, 3), lt.first) >= 0.45 * np.diff(lt.first)
+        long, own = np.diff(lp.first), np.diff(lt.first)
+        close = (long >= 8) & (2 * own >= long) & (2 * own <= 3 * long)
+        for j in np.flatnonzero(near & close).tolist():
+            out[rest[j]] = _aligned(lp.of(j), lt.of(j))
+    return out
 
 
 def is_copy(prompt: str, text: str) -> bool:
-    p, t = plain(prompt), plain(FRAMES.sub("", text, count=2) if len(text) > 8 else text)
-    if len(t) < 4 or len(p) < 4 or len(t) < 0.5 * len(p):
-        return t == p and len(t) > 0
-    grams = {p[k : k + 3] for k in range(len(p) - 2)}
-    covered = np.zeros(len(t), bool)
-    hits = 0
-    for k in range(len(t) - 2):
-        if t[k : k + 3] in grams:
-            covered[k : k + 3] = True
-            hits += 1
-    contained = hits / max(len(t) - 2, 1)
-    if contained < 0.5:
-        return False
-    left = len(t) - int(covered.sum())
-    tail = len(t) - 1 - int(np.flatnonzero(covered)[-1])
-    if tail > max(3, len(t) // 25):
-        return False  # something new follows the prompt
-    if contained >= 0.9 and left <= max(3, len(t) // 12):
-        return True
-    # open: align with the prompt, or with the prompt again and again
-    again = p * max(1, round(len(t) / len(p)))
-    blocks = SequenceMatcher(None, again, t, autojunk=False).get_matching_blocks()
-    return sum(b.size for b in blocks) >= 0.85 * len(t)
-
-
-_MARKER = re.compile(r"^\s*(?:[-*•]|\(?\d{1,3}[.)、）](?!\d))\s*")
-_SENTENCE = re.compile(r"[^。！？!?\n]*?(?:[。！？!?]+|\.(?=\s|$)|\n|$)")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
-
-
-def units(clause: str) -> tuple[str, ...]:
-    """Characters of a wide script, words of others; digits are all one unit."""
-    out: list[str] = []
-    for w in _WORD.findall(clause.lower()):
-        if w[0].isdigit():
-            out.append("#")
-        elif "぀" <= w[0] <= "鿿" or "぀" <= w[-1] <= "鿿":
-            out.extend(w)
-        else:
-            out.append(w)
-    return tuple(out)
+    return bool(copies([prompt], [text])[0])
 
 
-def clauses(sentence: str) -> list[str]:
-    return [c for c in re.split(r"[，,；;：:、]\s*", sentence) if c.strip()]
+_MARKER = re.compile(r"^\s*(?:[-*•]|\(?\d{1,3}[.)、）](?!\d))\s*$")
+#: What a sentence cannot end with.
+_OPEN_END = ("…", "..", "，", "、", ",", "：", ":", "；", ";", "（", "(", "「", "『", "“", "-", "–", "—")
+_LAST_LINE_NUMBER = re.compile(r"(?:^|\n)\s*\d{1,3}\.$")
+# How a wish or thanks after an answer begins.
+_WISHES = ("祝", "谢谢", "多谢", "best wishes", "kind regards", "take care", "get well", "thanks", "thank you", "bon courage", "gute besserung", "alles gute", "que se mejore", "выздоравливайте", "お大事に")
+_SMILE = re.compile(r"[:：;；=]['-]?[)）(（DPp]+$")
+_LAST_STOP = re.compile(r".*[。！？!?~～\n]|.*\.(?=\s)", re.S)
 
 
-def _last_two(u: tuple[str, ...]) -> str:
-    """The last word, or the last two characters of a wide script."""
-    return u[-1] if len(u[-1]) > 1 else "".join(u[-2:])
-
-
-def _last(u: tuple[str, ...]) -> str:
-    return u[-1][-2:]
-
-
-#: Between the units of a clause, and between the parts of the name of a count; neither occurs in a unit.
-_SEP, _OF = "\x1f", "\x1e"
-#: Different clauses that a task counts before it hands the counts on.
-_HELD = 200_000
-
-
-def clause_counts(texts: list[str | None], counts: Counter) -> None:
-    """Adds the clauses of the whole sentences of replies that are no tool calls: (a later one of its sentence, its
-    last one, units)."""
-    for text in texts:
-        if text is None or broken_call(text) is not None:
-            continue
-        for m in _SENTENCE.finditer(text):
-            sentence = m.group()
-            if not sentence or sentence[-1] not in "。！？!?.\n":
-                continue
-            parts = clauses(_MARKER.sub("", sentence))
-            for k, part in enumerate(parts):
-                counts[k > 0, k == len(parts) - 1, part] += 1
+def _symbol(ch: str) -> bool:
+    return ch.isspace() or ch in "~～" or unicodedata.category(ch) in ("So", "Sk", "Cf", "Mn", "Me", "Cs", "Co", "Cn")
 
 
-def _counted(replies: DataFrame, text: str) -> DataFrame:
-    """``later``, ``last``, ``u`` (the units), ``end`` and ``two`` (the last unit's end, the last two units) and ``n`` of
-    every different clause of all replies."""
-
-    def rows(counts: Counter) -> pa.RecordBatch:
-        out: Counter = Counter()
-        for (later, last, part), n in counts.items():
-            u = units(part)
-            if u:
-                out[later, last, _SEP.join(u), _last(u), _last_two(u)] += n
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(out.values(), pa.int64())], names=["later", "last", "u", "end", "two", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for chunk in text_chunks(batches, 0, size=1 << 20):
-            clause_counts(chunk.column(0).to_pylist(), counts)
-            if len(counts) > _HELD:
-                yield rows(counts)
-                counts = Counter()
-        yield rows(counts)
-
-    parts = map_batches(replies.select(text), run, "later boolean, last boolean, u string, end string, two string, n bigint")
-    return parts.groupBy("later", "last", "u", "end", "two").agg(F.sum("n").alias("n")).withColumn("u", F.split("u", _SEP))
-
-
-def _id(kind: str, *parts: Column | str) -> Column:
-    return F.concat_ws(_OF, F.lit(kind), *parts)
-
-
-def _beginnings(u: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.least(F.lit(Endings.DEPTH), F.size(u))), lambda d: F.array_join(F.slice(u, 1, d), _SEP))
-
-
-def _pairs_of(u: Column) -> Column:
-    """Every two neighbouring units."""
-    return F.transform(F.slice(u, 2, F.size(u)), lambda x, k: F.concat(F.get(u, k), F.lit(_SEP), x))
-
-
-def ending_counts(replies: DataFrame, text: str) -> DataFrame:
-    """All counts that ``Endings`` asks for, over all replies, by ``id``: of a beginning (``K``) how often clauses have
-    it, how often those are the last, how many different endings these have and what units ``always``; its last units
-    (``E``, ``L``); units and pairs of units (``S``), those before a stop (``P``); beginnings of words (``W``)."""
-    c = _counted(replies, text)
-    key = F.transform(_beginnings(F.col("u")), lambda b: F.concat(F.col("later").cast("int").cast("string"), F.lit(_SEP), b))
-    c = c.withColumn("keys", key)
-    none = F.array().cast("array<string>")
-    feature = F.concat(F.transform("keys", lambda k: _id("K", k)), F.transform("u", lambda x: _id("S", x)), F.transform(_pairs_of(F.col("u")), lambda x: _id("S", x)))
-    stop = F.concat(F.array(_id("P", F.element_at("u", -1))), F.when(F.size("u") > 1, F.array(_id("P", F.array_join(F.slice("u", -2, 2), _SEP)))).otherwise(none))
-    ends = F.concat(F.transform("keys", lambda k: _id("F", k)), F.transform("keys", lambda k: _id("E", k, "end")), F.transform("keys", lambda k: _id("L", k, "two")))
-    has = F.flatten(F.transform("keys", lambda k: F.transform(F.array_distinct("u"), lambda x: _id("H", k, x))))
-    every = F.concat(feature, F.when(F.col("last"), F.concat(stop, ends, has)).otherwise(none))
-    n = cut(c.select(F.explode(every).alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n")))  # read several times below
-    kind, of = F.substring("id", 1, 1), F.split("id", _OF)
-    n = n.select("id", "n", kind.alias("kind"), F.get(of, 1).alias("key"), F.get(of, 2).alias("unit"))
-    known = n.where("kind in ('K', 'F', 'L')").groupBy("key").agg(F.sum(F.when(F.col("kind") == "K", F.col("n"))).alias("n"), F.coalesce(F.sum(F.when(F.col("kind") == "F", F.col("n"))), F.lit(0)).alias("final"), F.count_if(F.col("kind") == "L").alias("endings"))
-    finals = n.where("kind = 'F'").select("key", F.col("n").alias("final"))
-    always = n.where("kind = 'H'").join(finals, "key").where(F.col("n") >= F.lit(0.98) * F.col("final")).groupBy("key").agg(F.collect_list("unit").alias("always"))
-    known = known.join(always, "key", "left").select(_id("K", "key").alias("id"), "n", "final", "endings", F.coalesce("always", none).alias("always"))
-    words = n.where((F.col("kind") == "S") & (F.col("n") >= 5) & ~F.contains("key", F.lit(_SEP)) & (F.length("key") > 1))
-    words = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda k: F.col("key").substr(F.lit(1), k))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    plain_ = lambda d, i: d.select(i.alias("id"), "n", F.lit(None).cast("bigint").alias("final"), F.lit(None).cast("bigint").alias("endings"), F.lit(None).cast("array<string>").alias("always"))
-    return known.unionByName(plain_(n.where("kind in ('E', 'L', 'S', 'P')"), F.col("id"))).unionByName(plain_(words, _id("W", "w")))
-
-
-class Endings:
-    """What whole sentences end like: for the clauses of one beginning (the first or a later one of a sentence), how
-    often they are the last, their last units, and the units that all of them have.  ``counts`` has that of all replies
-    (``ending_counts``); only what is asked for is looked up, by a join."""
-
-    DEPTH, LEAST = 4, 8
-
-    def __init__(self, counts: DataFrame):
-        self.counts, self.kept = counts, False
-
-    def verdicts(self, questions: DataFrame) -> DataFrame:
-        """``question`` and ``whole`` of every different question of a column ``question``."""
-        asked = map_batches(questions.select("question").distinct(), _lookups, "question string, id string")
-        facts = F.collect_list(F.struct("id", "n", "final", "endings", "always"))
-        found = asked.join(self.counts, "id", "left").groupBy("question").agg(facts.alias("facts"))
-        return map_batches(found, _answers, "question string, whole boolean")
-
-    def verdict(self, question: str) -> bool:
-        """Of one question."""
-        if not self.kept:  # asked again and again
-            self.counts, self.kept = cut(self.counts), True
-        return self.verdicts(self.counts.sparkSession.createDataFrame([(question,)], "question string")).first().whole
-
-
-def ending_question(text: str) -> bool | str:
-    """Whether a text that doesn't end with a stop ends with a whole sentence or item; where only the corpus can tell,
-    what it is asked: whether the clause is a later one, whether it is all of a short reply, its units."""
-    line = text.rstrip().rsplit("\n", 1)[-1]
-    item = bool(_MARKER.match(line))
-    tail = [m.group() for m in _SENTENCE.finditer(_MARKER.sub("", line)) if m.group().strip()]
-    if not tail:
-        return not item  # a list marker without its item
-    parts = clauses(tail[-1])
-    if not parts:
-        return True
-    u, later = units(parts[-1]), len(parts) > 1
-    if not u:
-        return True
-    short = len(tail) == 1 and not later and "\n" not in text.strip()
-    if short and len(plain(text)) < 6:
-        return True  # a few letters are a short answer
-    return _SEP.join((str(int(later)), str(int(short)), *u))
-
-
-def _asked(question: str) -> tuple[bool, bool, tuple[str, ...]]:
-    later, short, *u = question.split(_SEP)
-    return later == "1", short == "1", tuple(u)
-
-
-def _names(question: str) -> set[str]:
-    """The ids of the counts that a question needs."""
-    later, short, u = _asked(question)
-    keys = [_SEP.join((str(int(later)), *u[:d])) for d in range(1, min(Endings.DEPTH, len(u)) + 1)]
-    names = {f"K{_OF}{k}" for k in keys} | {f"E{_OF}{k}{_OF}{_last(u)}" for k in keys} | {f"L{_OF}{k}{_OF}{_last_two(u)}" for k in keys}
-    seen = range(len(u)) if short else range(max(len(u) - 2, 0), len(u))
-    names |= {f"S{_OF}{_SEP.join(u[k : k + n])}" for k in seen for n in (1, 2)}
-    return names | {f"P{_OF}{_SEP.join(u[-n:])}" for n in (1, 2)} | {f"W{_OF}{u[-1]}"}
-
-
-def _lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in text_chunks(batches, 0, size=1 << 18):
-        rows = [(q, i) for q in chunk.column(0).to_pylist() for i in _names(q)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["question", "id"])
-
-
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        qs = batch.column(0).to_pylist()
-        said = [ends_whole(q, {f["id"]: f for f in facts if f["n"] is not None}) for q, facts in zip(qs, batch.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(qs, pa.string()), pa.array(said, pa.bool_())], names=["question", "whole"])
+def body_of(text: str) -> str:
+    """A reply without what follows its last sentence: symbols, a remark in brackets, a wish or thanks."""
+    body = text
+    while True:
+        size = len(body)
+        while body and not body[-1].isalnum() and _symbol(body[-1]):
+            body = body[:-1]
+        if body[-1:] in (")", "）"):
+            smile = _SMILE.search(body[-6:])
+            at = max(body.rfind("("), body.rfind("（"))
+            if smile:
+                body = body[: len(body) - len(smile.group())]
+            elif at > 0:
+                body = body[:at]
+        elif body:
+            m = _LAST_STOP.match(body, 0) if body[-1] not in "。！!.～~" else _LAST_STOP.match(body, 0, len(body) - 1)
+            last = body[m.end() if m else 0 :].lstrip()
+            if m and last.lower().startswith(_WISHES) and len(last) < len(body):
+                body = body[: m.end()]
+        if len(body) == size or not body:
+            return body or text.rstrip()
 
 
-def ends_whole(question: str, facts: dict[str, dict]) -> bool:
-    """Whether the clause of a question ends a sentence, by the counts it needs."""
-    later, short, u = _asked(question)
-    n = lambda *name: facts[i]["n"] if (i := _OF.join(name)) in facts else 0
-    seen = lambda *w: n("S", _SEP.join(w))
-    of = lambda d: _SEP.join((str(int(later)), *u[:d]))
-    if short:
-        # words in an order that sentences don't have are a short answer
-        if any(seen(a, b) <= min(seen(a), seen(b)) // 1000 + 2 <= 0.05 * min(seen(a), seen(b)) for a, b in zip(u, u[1:], strict=False)):
-            return True
-    depth = 0
-    for d in range(1, min(Endings.DEPTH, len(u)) + 1):
-        if n("K", of(d)) >= Endings.LEAST:
-            depth = d
-    if not (not u[-1].isascii() and len(u[-1]) < 2 or u[-1] == "#" or seen(u[-1])) and n("W", u[-1]):
-        return False  # a word that no sentence has is the beginning of one that many have
-    new = depth < min(Endings.DEPTH, len(u)) and n("K", of(depth + 1)) < 2 and depth < 3
-    if not depth or new or short and depth < 2 and u[0].isascii():
-        return short and (not depth or u[0].isascii() or len(u) == 1) or _suffix(u, n)
-    at = facts[f"K{_OF}{of(depth)}"]
-    if at["final"] < 0.03 * at["n"]:
-        return short and _suffix(u, n)
-    if not set(at["always"]) <= set(u):
+def breaks_off(text: str) -> bool | str:
+    """Whether a text breaks off, or what is left of it to ask the corpus about."""
+    raw = text.rstrip()
+    body = body_of(raw).rstrip()
+    if not body:
         return False
-    closed = lambda f: f["final"] >= 40 and f["endings"] <= 0.12 * f["final"]
-    if closed(at):
-        return n("L", of(depth), _last_two(u)) > 0
-    if depth > 2 and closed(facts[f"K{_OF}{of(depth - 1)}"]):
-        return n("L", of(depth - 1), _last_two(u)) > 0
-    return n("E", of(depth), _last(u)) > 0 or n("E", of(depth - 1 if depth > 2 else depth), _last(u)) > 1
-
-
-def _suffix(u: tuple[str, ...], n: Callable[..., int]) -> bool:
-    """By the last units alone: whether they ever end a sentence."""
-    for k, least, share in ((2, 12, 0.02), (1, 40, 0.01)):
-        s = _SEP.join(u[-k:])
-        if len(u) >= k and n("S", s) >= least:
-            return n("P", s) >= share * n("S", s)
-    return True
+    if raw.endswith(_OPEN_END) and not _SMILE.search(raw[-6:]) or body.endswith(_OPEN_END):
+        return True
+    if body[-1] in _END + "）)”\"'’」』】》>…`*|":
+        return body[-1] == "." and bool(_LAST_LINE_NUMBER.search(body[-8:]))
+    line = body.rsplit("\n", 1)[-1]
+    if _MARKER.match(line):
+        return True  # a list marker without its item
+    if "\n" not in body and len(plain(body)) < 6:
+        return False  # a few letters are a short answer
+    return body
 
 
-def is_truncated(text: str, endings: Endings) -> bool:
-    """Of one text; ``broken_replies`` asks the corpus for all of them at once."""
+def is_truncated(text: str, replies: DataFrame, column: str) -> bool:
+    """Of one text; ``broken_replies`` asks the corpus about all of them at once."""
     q = breaks_off(text)
-    return q if isinstance(q, bool) else not endings.verdict(q)
+    if isinstance(q, bool):
+        return q
+    ids = questions([q])[0]
+    one = replies.sparkSession.createDataFrame([(_signed(ids),)], "question array<bigint>")
+    return answered(one, replies, column).first().whole is False
 
 
-def breaks_off(text: str) -> bool | str:
-    """Whether a text breaks off, or the question that decides it: if not whole, it does."""
-    body = text.rstrip()
-    while True:
-        less = _CLOSING.sub("", body)
-        if less == body or not less:
-            break
-        body = less
-    if not body:
-        return False
-    if _CUT.search(body):
-        return True
-    if body[-1] in _END + "）)”\"'’」』】》>…`*|~～":
-        return body[-1] == "." and bool(re.search(r"(?:^|\n)\s*\d{1,3}\.$", body))
-    q = ending_question(body)
-    return not q if isinstance(q, bool) else q
+def _signed(ids: list[int] | None) -> list[int] | None:
+    return None if ids is None else [i - (1 << 64) if i >= 1 << 63 else i for i in ids]
 
 
 # Words that ask for a reply in a language, after or before its name.
@@ -455,11 +291,20 @@ def asked_languages(prompt: str) -> set[str]:
     return {_BY_NAME[m.group().lower()] for m in _NAMES.finditer(prompt)} if _ASKS.search(prompt) else set()
 
 
-def defects(prompts: list[str | None], replies: list[str | None], model: Model) -> tuple[list[str | None], list[str | None]]:
-    """The defect of each reply, None if it has none; and the question on its ending, None where that is certain.  If
-    the answer is that it isn't whole, the reply is ``truncated`` instead."""
+def surely_chinese(texts: list[str]) -> np.ndarray:
+    """Texts of Chinese characters, at most a tenth of other letters, and no kana: no closer look at their language."""
+    codes, owner = folded(texts)
+    wide, kana = (codes >= 0x3400) & (codes < 0xA000) | (codes >= 0x20000), (codes >= 0x3040) & (codes < 0x3100) | (codes >= 0xFF66) & (codes < 0xFFA0)
+    letter = (codes > 0) & ~((codes >= 48) & (codes < 58))
+    a, b, c = (np.bincount(owner[x], minlength=len(texts)) for x in (wide, kana, letter))
+    return (a >= 4) & (b == 0) & (10 * a >= 9 * c)
+
+
+def defects(prompts: list[str | None], replies: list[str | None], model: Model) -> tuple[list[str | None], list[list[int] | None]]:
+    """The defect of each reply, None if it has none; and what the corpus is to be asked about its ending, None where
+    that is certain.  If the answer is that it isn't whole, the reply is ``truncated`` instead."""
     out: list[str | None] = [None] * len(replies)
-    questions: list[str | None] = [None] * len(replies)
+    asked: list[list[int] | None] = [None] * len(replies)
     prose: list[int] = []
     for k, (p, r) in enumerate(zip(prompts, replies, strict=True)):
         if p is None:
@@ -470,35 +315,47 @@ def defects(prompts: list[str | None], replies: list[str | None], model: Model)
             out[k] = "truncated" if call else None
         elif is_refusal(r):
             out[k] = "refusal"
-        elif is_copy(p, r):
+        else:
+            prose.append(k)
+    if not prose:
+        return out, asked
+    copied = copies([prompts[k] for k in prose], [replies[k] for k in prose]).tolist()
+    rest, bodies = [], []
+    for k, copy in zip(prose, copied, strict=True):
+        if copy:
             out[k] = "copy"
-        elif (q := breaks_off(r)) is True:
+        elif (q := breaks_off(replies[k])) is True:
             out[k] = "truncated"
         else:
-            questions[k] = q or None
-            prose.append(k)
-    if prose:
-        asked, said = Judged(model, [prompts[k] for k in prose]), Judged(model, [replies[k] for k in prose])
-        (pm, pw, _, _), (rm, *_) = asked.per_text(least=4), said.per_text()
-        for i, k in enumerate(prose):
+            rest.append(k)
+            bodies.append(q)
+    ask = [j for j, q in enumerate(bodies) if q]
+    for j, ids in zip(ask, questions([bodies[j] for j in ask]), strict=True):
+        asked[rest[j]] = _signed(ids)
+    both = surely_chinese([prompts[k] for k in rest]) & surely_chinese([replies[k] for k in rest]) if rest else np.zeros(0, bool)
+    rest = [k for k, same in zip(rest, both.tolist(), strict=True) if not same]
+    if rest:
+        prompt, reply = Judged(model, [prompts[k] for k in rest]), Judged(model, [replies[k] for k in rest])
+        (pm, pw, _, _), (rm, *_) = prompt.per_text(least=4), reply.per_text()
+        for i, k in enumerate(rest):
             lang = int(rm[i])
-            if lang < 0 or pm[i] < 0 or lang == pm[i] or pw[i, lang] or said.nearness[i, lang] < CLEAR * said.nearness[i, pm[i]]:
+            if lang < 0 or pm[i] < 0 or lang == pm[i] or pw[i, lang] or reply.nearness[i, lang] < CLEAR * reply.nearness[i, pm[i]]:
                 continue
-            if asked.nearness[i, lang] * CLEAR >= asked.nearness[i, pm[i]]:
+            if prompt.nearness[i, lang] * CLEAR >= prompt.nearness[i, pm[i]]:
                 continue  # the prompt is too short to tell
             if LANGUAGES[lang] not in asked_languages(prompts[k]):
                 out[k] = "other_language"
-    return out, questions
+    return out, asked
 
 
-def fit_endings(replies: DataFrame, key: str, text: str) -> Endings:
-    """From all replies; a reply delivered twice counts once."""
-    rows = replies.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text).distinct()
-    return Endings(ending_counts(rows, text))
+def each_once(replies: DataFrame, key: str, text: str) -> DataFrame:
+    """The replies that the endings are counted in: of a key, equal texts count once."""
+    return replies.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text).distinct().select(text)
 
 
-def broken_replies(pairs: DataFrame, endings: Endings, model: Model, key: str = "rec_id", prompt: str = "prompt", reply: str = "reply", field: str = "fld") -> DataFrame:
-    """``key``, ``field`` and ``defect`` of every reply with a defect."""
+def broken_replies(pairs: DataFrame, model: Model, key: str = "rec_id", prompt: str = "prompt", reply: str = "reply", field: str = "fld", corpus: DataFrame | None = None) -> DataFrame:
+    """``key``, ``field`` and ``defect`` of every reply with a defect.  ``corpus``: the texts in a column ``reply`` whose
+    sentences say how sentences end; those of ``pairs``, if not given."""
     kind = pairs.schema[key].dataType.simpleString()
     shared = pairs.sparkSession.sparkContext.broadcast(model)
 
@@ -507,9 +364,11 @@ def broken_replies(pairs: DataFrame, endings: Endings, model: Model, key: str =
             found, asked = defects(chunk.column(2).to_pylist(), chunk.column(3).to_pylist(), shared.value)
             at = [k for k, d in enumerate(found) if d or asked[k]]
             place = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([chunk.column(0).take(place), chunk.column(1).take(place), pa.array([found[k] for k in at], pa.string()), pa.array([asked[k] for k in at], pa.string())], names=[key, field, "defect", "question"])
+            cols = [chunk.column(0).take(place), chunk.column(1).take(place), pa.array([found[k] for k in at], pa.string()), pa.array([asked[k] for k in at], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, field, "defect", "question"])
 
     rows = pairs.select(key, field, prompt, reply).where(F.col(key).isNotNull() & F.col(prompt).isNotNull())
-    found = cut(map_batches(rows, run, f"`{key}` {kind}, `{field}` string, defect string, question string"))
-    told = found.join(endings.verdicts(found.where("question is not null")), "question", "left")
+    found = map_batches(rows, run, f"`{key}` {kind}, `{field}` string, defect string, question array<bigint>")
+    texts = each_once(pairs, key, reply).withColumnRenamed(reply, "reply") if corpus is None else corpus
+    told = answered(found, texts, "reply")
     return told.select(key, field, F.when(~F.col("whole"), "truncated").otherwise(F.col("defect")).alias("defect")).where("defect is not null").distinct()

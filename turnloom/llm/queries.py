@@ -14,7 +14,7 @@ from turnloom.llm.langid import document_languages, fit_languages, label_defects
 from turnloom.llm.leak import leaked_items
 from turnloom.llm.neardup import near_groups, near_pairs
 from turnloom.llm.packing import container_report, pack, token_counts
-from turnloom.llm.pairs import broken_replies, fit_endings
+from turnloom.llm.pairs import broken_replies
 from turnloom.llm.records import article_texts, human_text, last_human_turn
 from turnloom.session import table
 
@@ -78,11 +78,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = [F.lit("qa_sample").alias("src"), F.col("qa_id").alias("rec_id"), F.lit("answer").alias("fld"), F.col("question").alias("prompt"), F.col("answer").alias("reply")]
     both = F.explode(F.array(*(F.struct(F.lit(c).alias("fld"), F.col(c).alias("reply")) for c in ("chosen", "rejected"))))
     turns = tc.select(F.col("pref_id").alias("rec_id"), last_human_turn().alias("prompt"), both.alias("x")).select("rec_id", "x.fld", "prompt", "x.reply")
-    replies = qa.select(F.col("qa_id").alias("rec_id"), F.col("answer").alias("reply")).unionByName(turns.select("rec_id", "reply"))
-    endings = fit_endings(replies, "rec_id", "reply")
     chosen = turns.select(F.lit("toolcall_dpo_zh_demo").alias("src"), "rec_id", "fld", "prompt", "reply")
     both = qa.select(*asked).unionByName(chosen).withColumn("fld", F.concat_ws("/", "src", "fld"))  # the field within its table
-    found = broken_replies(both, endings, model)
+    found = broken_replies(both, model)
     return found.select(F.split_part("fld", F.lit("/"), F.lit(1)).alias("src"), "rec_id", F.split_part("fld", F.lit("/"), F.lit(2)).alias("fld"), "defect")
 
 
