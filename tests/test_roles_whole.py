@@ -1,6 +1,6 @@
 import json
 
-from turnloom.plans.conversations import roles_with_tools_whole
+from turnloom.plans.conversations import roles_with_tools
 
 
 def test_all_turns_in_qwen(spark, sf, tmp_path):
@@ -23,6 +23,6 @@ def test_all_turns_in_qwen(spark, sf, tmp_path):
                 text = f"<tool_response>\n{text}\n</tool_response>"
             if role in ("human", "observation", "gpt", "function_call"):
                 want[key, k] = ("user" if role in ("human", "observation") else "assistant", text)
-    got = roles_with_tools_whole(spark, str(tmp_path)).collect()
+    got = roles_with_tools(spark, str(tmp_path)).collect()
     assert {(r.conv_id, r.turn): (r.role, r.text) for r in got} == want and len(got) == len(want)
     assert sum(t is not None and t.startswith("<tool_call>") for _, t in want.values()) > 1

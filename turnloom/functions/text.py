@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,21 +55,23 @@ def gold_answer(x: ColumnOrName) -> Column:
     return strip(F.when(F.contains(_c(x), F.lit("####")), F.element_at(F.split(_c(x), "####", 2), 2)).otherwise(_c(x)))
 
 
-def accuracy_reward(reply: ColumnOrName, gold: ColumnOrName) -> Column:
-    """1.0 if the reply's answer equals the gold answer, as a number or as normalised text.  Symbolic equality is left
-    to a function of the caller's own."""
+def accuracy_reward(reply: ColumnOrName, gold: ColumnOrName, equal: Callable[[Column, Column], Column] | None = None) -> Column:
+    """1.0 if the reply's answer equals the gold answer, as a number, as normalised text, or by ``equal``: a function of
+    the two answers (a Pandas UDF, for instance, that compares them as formulas); null counts as false."""
     a, b = extracted_answer(reply), gold_answer(gold)
     number = lambda s: F.regexp_replace(s, r"[,$\s]", "").try_cast("decimal(38,10)")
     same = F.coalesce(number(a) == number(b), F.lit(False)) | (normalized(a) == normalized(b))
+    if equal is not None:
+        same = same | F.coalesce(equal(a, b), F.lit(False))
     return F.coalesce(same & (b != ""), F.lit(False)).cast("double")
 
 
 def boxed(x: ColumnOrName) -> Column:
-    """The last ``\\boxed{...}`` or ``\\fbox{...}`` with its braces matched, ``\\boxed `` up to the next dollar sign;
-    null if there is none or its braces aren't closed."""
+    """The last ``\\boxed{...}``, or where there is none the last ``\\fbox{...}``, with its braces matched; ``\\boxed `` up
+    to the next dollar sign; null if there is none or its braces aren't closed."""
     text = _c(x)
     spaced = F.concat(F.lit("\\boxed "), F.element_at(F.split(F.element_at(F.split(text, r"\\boxed ", -1), -1), r"\$", 2), 1))
-    at = F.greatest(_last_at(text, "\\boxed"), _last_at(text, "\\fbox"))
+    at = F.when(_last_at(text, "\\boxed") > 0, _last_at(text, "\\boxed")).otherwise(_last_at(text, "\\fbox"))
     tail = F.substr(text, at)
     # depth after every brace; the box ends where it first comes back to nothing
     chars = F.split(tail, "")

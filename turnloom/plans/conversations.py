@@ -50,12 +50,6 @@ def roles_normalized(spark, d):
 
 
 def roles_with_tools(spark, d):
-    """Calls and results in the default dialect: what SQL can express of it, the results and plain turns."""
-    t = turns(spark, d).where("role <> 'function_call'")
-    return C.normalized_roles(t, "qwen", format_tools=True)
-
-
-def roles_with_tools_whole(spark, d):
     """All turns, calls as well as results, in the qwen dialect."""
     return C.normalized_roles(turns(spark, d), "qwen", format_tools=True)
 
@@ -264,8 +258,9 @@ QUERIES = {
     "conv_pairs_keep_open": (conv_pairs_keep_open, f"WITH {TURNS} SELECT * FROM open_pairs"),
     "conv_turns": (conv_turns, f"WITH {TURNS} SELECT * FROM turns"),
     "roles_normalized": (roles_normalized, f"WITH {TURNS} SELECT * FROM norm"),
-    "roles_with_tools_whole": (roles_with_tools_whole, None),
-    "roles_with_tools": (roles_with_tools, f"WITH {TURNS} SELECT conv_id, turn, CASE WHEN role = 'gpt' THEN 'assistant' ELSE 'user' END AS role, CASE WHEN role = 'observation' THEN '<tool_response>' || chr(10) || text || chr(10) || '</tool_response>' ELSE text END AS text FROM turns WHERE role IN ('human', 'gpt', 'observation')"),
+    "roles_with_tools": (roles_with_tools, f"""WITH {TURNS} SELECT conv_id, turn, CASE WHEN role IN ('gpt', 'function_call') THEN 'assistant' ELSE 'user' END AS role,
+CASE WHEN role = 'observation' THEN '<tool_response>' || chr(10) || text || chr(10) || '</tool_response>' WHEN role = 'function_call' THEN CASE WHEN json_valid(text) THEN '<tool_call>' || chr(10) || '{{"name": "' || json_extract_string(text, '$.name') || '", "arguments": ' || regexp_extract(text, '(?s)"arguments": (.*)\\}}$', 1) || '}}' || chr(10) || '</tool_call>' END ELSE text END AS text
+FROM turns WHERE role IN ('human', 'gpt', 'observation', 'function_call')"""),
     "call_turns": (call_turns, f"WITH {TURNS} SELECT conv_id, turn, true AS is_call, json_extract_string(text, '$.name') AS name FROM turns WHERE role = 'function_call'"),
     "system_prompts": (system_prompts, f"WITH {TURNS} SELECT * FROM systems"),
     "system_with_tools": (system_with_tools, f"WITH {TURNS} SELECT conv_id, concat_ws(chr(10) || chr(10), nullif(system_prompt, ''), nullif(tools, '')) AS text FROM systems JOIN c ON pref_id = conv_id"),

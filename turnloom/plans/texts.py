@@ -58,8 +58,10 @@ def accuracy_reward(spark, d):
 
 
 def boxed_answer(spark, d):
-    """A box with the answer in it, behind another box."""
-    t = F.concat(F.lit("\\boxed{0} and \\boxed{"), F.regexp_replace("answer", r"[{}\\]", ""), F.lit("{n}} end"))
+    """A box with the answer in it, behind another one; a box of the other kind stands last, and alone for some keys."""
+    inside = F.concat(F.regexp_replace("answer", r"[{}\\]", ""), F.lit("{n}"))
+    both = F.concat(F.lit("\\boxed{0} and \\boxed{"), inside, F.lit("} or \\fbox{2} end"))
+    t = F.when(F.col("qa_id") % 3 == 0, F.concat(F.lit("\\fbox{0} then \\fbox{"), inside, F.lit("}."))).otherwise(both)
     return _answers(spark, d).select("qa_id", X.boxed(t).alias("box"), X.boxed_solution(t).alias("inside"))
 
 
@@ -84,10 +86,6 @@ def numbered_items(spark, d):
 
 
 def text_md5(spark, d):
-    return _docs(spark, d).select("doc_id", X.head_md5(F.encode("text", "UTF-8"), 64).alias("hash"))
-
-
-def text_md5_whole(spark, d):
     return _docs(spark, d).select("doc_id", X.head_md5(F.encode("text", "UTF-8")).alias("hash"))
 
 
@@ -194,7 +192,7 @@ QUERIES = {
     "extract_answer": (extract_answer, f"SELECT doc_id, {_stripped('''CASE WHEN regexp_matches(t, '(?s)<answer>(.*?)</answer>') THEN regexp_extract(t, '(?s)<answer>(.*?)</answer>', 1) ELSE t END''')} AS answer FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"),
     "format_reward": (format_reward, f"SELECT qa_id, CASE WHEN qa_id % 3 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS reward FROM {_QA}"),
     "accuracy_reward": (accuracy_reward, f"SELECT qa_id, CASE WHEN dept IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS reward FROM {_QA}"),
-    "boxed_answer": (boxed_answer, f"SELECT qa_id, '\\boxed{{' || b || '}}' AS box, b AS inside FROM (SELECT qa_id, regexp_replace(answer, '[{{}}\\\\]', '', 'g') || '{{n}}' AS b FROM {_QA})"),
+    "boxed_answer": (boxed_answer, f"SELECT qa_id, CASE WHEN qa_id % 3 = 0 THEN '\\fbox{{' ELSE '\\boxed{{' END || b || '}}' AS box, CASE WHEN qa_id % 3 <> 0 THEN b END AS inside FROM (SELECT qa_id, regexp_replace(answer, '[{{}}\\\\]', '', 'g') || '{{n}}' AS b FROM {_QA})"),
     "chinese_flags": (chinese_flags, "SELECT doc_id, regexp_full_match(text, '[一-龥]*') AS all_zh, regexp_matches(text, '[一-鿿]') AS has_zh FROM documents"),
     "stop_cut": (stop_cut, "SELECT doc_id, split_part(text, '。', 1) AS one, split_part(split_part(split_part(text, 'observation', 1), '. ', 1), '，', 1) AS many FROM documents"),
     "stop_words": (stop_words, f"SELECT DISTINCT dept, chr(10) || dept || '|' || chr(10) || chr(10) || '|' || dept AS stops FROM {_QA} WHERE dept IS NOT NULL"),
@@ -204,8 +202,7 @@ QUERIES = {
 q AS (SELECT qa_id, list_filter(list_transform(l, lambda x: {_stripped('''CASE WHEN contains(x, '.') THEN substr(x, strpos(x, '.') + 1) ELSE x END''')}), lambda x: x <> '') AS l FROM p)
 SELECT qa_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS item FROM (SELECT qa_id, l, unnest(range(1, len(l) + 1)) AS i FROM q)""",
     ),
-    "text_md5_whole": (text_md5_whole, "SELECT doc_id, md5(array_slice(encode(text), 1, 1048576)) AS hash FROM documents"),
-    "text_md5": (text_md5, "SELECT doc_id, md5(array_slice(encode(text), 1, 64)) AS hash FROM documents"),
+    "text_md5": (text_md5, "SELECT doc_id, md5(array_slice(encode(text), 1, 1048576)) AS hash FROM documents"),
     "sentence_chunks": (sentence_chunks, f"WITH {_SENTENCES} SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, chunks[i] AS chunk FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM k)"),
     "sentence_chunks_overlap": (sentence_chunks_overlap, f"WITH {_SENTENCES} SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, CASE WHEN i < len(chunks) THEN {_stripped('''chunks[i] || ' ' || left(chunks[i + 1], 50)''')} ELSE chunks[i] END AS chunk FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM k)"),
     "document_chunks": (document_chunks, None),

@@ -54,11 +54,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder of ``spark.checkpoint.dir``; sets a folder of its own only where that is unset."""
+    """Uses the shared folder of ``spark.checkpoint.dir``.  Where that is unset a folder of the driver's machine serves,
+    if the executors are on it; on a cluster they could not read it, so there it is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="turnloom-"))
 
 

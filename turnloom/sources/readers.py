@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,9 +110,9 @@ def markdown_text(df: DataFrame, key: str, text: str) -> DataFrame:
     return markup_text(df.select(key, t.alias(text)), key, text)
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, skip: bool = False) -> DataFrame:
     """``path, line_no, text`` of all documents under a folder by their extension.  PDF and DOCX files need a library for
-    them on the executors and are left out, with a null line, where it isn't there."""
+    them on the executors: without it reading them is an error, or, with ``skip``, gives one null line for each."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
     kind = F.lower(F.element_at(F.split("path", r"\."), -1))
     plain = files.withColumn("text", F.decode("content", "UTF-8")).withColumn("kind", kind)
@@ -119,11 +120,11 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     html = markup_text(plain.where("kind in ('html', 'htm')"), "path", "text")
     lines = F.filter(F.transform(F.split("text", r"\R"), strip), lambda x: x != "")
     txt = plain.where("kind not in ('md', 'html', 'htm', 'pdf', 'docx')").select("path", F.posexplode(lines).alias("line_no", "text"))
-    packed = files.where(kind.isin("pdf", "docx")).mapInPandas(_packed_lines, "path string, line_no int, text string")
+    packed = files.where(kind.isin("pdf", "docx")).mapInPandas(partial(_packed_lines, skip=skip), "path string, line_no int, text string")
     return md.unionByName(html).unionByName(txt).unionByName(packed)
 
 
-def _packed_lines(batches):
+def _packed_lines(batches, skip: bool = False):
     import importlib
     import io
 
@@ -136,6 +137,8 @@ def _packed_lines(batches):
             pages = importlib.import_module("pypdf").PdfReader(io.BytesIO(content)).pages
             return [x for p in pages for x in p.extract_text().splitlines()]
         except ImportError:
+            if not skip:
+                raise
             return None
 
     for b in batches:
