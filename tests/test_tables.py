@@ -57,7 +57,7 @@ def test_padding(spark):
 def test_places_do_not_follow_the_partitioning(spark):
     df = spark.range(500).select(((F.col("id") * 37) % 500 - 250).alias("k"))
     for parts in (1, 7):
-        got = P.ranked(df.repartition(parts), "k", buckets=8).collect()
+        got = P.ranked(df.repartition(parts), "k").collect()
         assert all(r.place == r.k + 250 for r in got) and len(got) == 500
     a, b = ({r.k for r in P.sample_n(df.repartition(n), 20, "k").collect()} for n in (1, 5))
     assert a == b and len(a) == 20

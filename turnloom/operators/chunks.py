@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,8 +39,16 @@ def sentence_chunks(text: Column, size: int = 250) -> Column:
 _WIDE_END = re.compile("[。！？\n]")
 
 
-def wide_spans(text: str, size: int, overlap: int) -> list[str]:
+def wide_spans(text: str, size: int, overlap: int, segment: Callable[[str], list[str]] | None = None) -> list[str]:
     out, at = [], 0
+    if segment is not None:  # a chunk grows by whole words
+        cur = ""
+        for word in segment(text):
+            cur += word
+            if len(cur) >= size or len(cur) > size - overlap and _WIDE_END.fullmatch(word[-1:]):
+                out.append(cur)
+                cur = ""
+        return [*out, cur] if cur else out
     while at < len(text):
         end = _WIDE_END.search(text, at + max(size - overlap, 0), at + size)
         to = end.end() if end else at + size
@@ -48,15 +57,15 @@ def wide_spans(text: str, size: int, overlap: int) -> list[str]:
     return out
 
 
-def wide_chunks(text: Column, size: int = 250, overlap: int = 50) -> Column:
-    """Chinese text by words (here: by characters): a chunk is closed at its full size, or after the end of a sentence
+def wide_chunks(text: Column, size: int = 250, overlap: int = 50, segment: Callable[[str], list[str]] | None = None) -> Column:
+    """Chinese text by words (``segment`` cuts a text into them; default: by characters): a chunk is closed at its full size, or after the end of a sentence
     once it is longer than the size less the overlap.  An Arrow function: one step for each chunk, where a fold in SQL
     would take one for each character."""
     ship_to_active()
 
     @F.pandas_udf("array<string>")
     def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else wide_spans(t, size, overlap))
+        return s.map(lambda t: None if t is None else wide_spans(t, size, overlap, segment))
 
     return split(text)
 

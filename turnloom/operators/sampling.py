@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from turnloom.session import cut
+
 
 def shuffle_key(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
@@ -33,21 +35,56 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(shuffle_key(key, seed), key).limit(n)
 
 
-def ranked(df: DataFrame, key: str | Column, buckets: int = 64) -> DataFrame:
+def in_ranges(df: DataFrame, *order: str | Column) -> DataFrame:
+    """The rows in ranges of an order, as many as the shuffle has partitions: ``_b`` is the range, ``_nth`` the place of a
+    row within it.  Written to the checkpoint folder, so that both stay what they are."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return cut(placed).withColumn("_b", F.shiftright("_id", 33)).withColumn("_nth", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+
+
+def ranked(df: DataFrame, key: str | Column) -> DataFrame:
     """Adds ``place``, the place of each row in the order of a unique key, from 0, without ordering all rows in one task:
-    ranges of the key are counted, and rows are numbered within their range."""
-    order = F.col(key) if isinstance(key, str) else key
-    keyed = df.withColumn("_k", order)
-    edges = keyed.select(F.percentile_approx("_k", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if dict(keyed.dtypes)["_k"] not in ("string", "binary") else None
-    if edges is None:  # text keys: by their leading characters, which a digest spreads evenly
-        bucket = F.substring("_k", 1, 2)
-    else:
-        bucket = F.aggregate(F.array(*(F.lit(e) for e in sorted(set(edges)))), F.lit(0), lambda n, e: n + (F.col("_k") > e).cast("int")) if edges else F.lit(0)
-    keyed = keyed.withColumn("_b", bucket)
-    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
+    rows are numbered within ranges of the key, and the ranges are added up."""
+    rows = in_ranges(df.withColumn("_k", F.col(key) if isinstance(key, str) else key), "_k").drop("_k")
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
     before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_b").orderBy("_k")) - 1
-    return keyed.withColumn("_nth", nth).join(F.broadcast(before), "_b").withColumn("place", (F.col("_nth") + F.col("_before")).cast("bigint")).drop("_k", "_b", "_nth", "_before")  # as many rows as there are ranges
+    return rows.join(F.broadcast(before), "_b").withColumn("place", (F.col("_nth") + F.col("_before")).cast("bigint")).drop("_b", "_nth", "_before")  # as many rows as there are ranges
+
+
+#: Keys that may be between two bounds when the border is looked for among them.
+FEW = 50_000
+
+
+def border(df: DataFrame, order: Column, key: str, n: int) -> Row | None:
+    """The n-th row (``o, k``) in the order of a number and, where that is the same, of the key; None for n below 1.  It
+    is found by counting between bounds that close in on it; only rows between the last bounds are ordered."""
+    if n < 1:
+        return None
+    rows = df.select(order.alias("o"), F.col(key).alias("k"))
+    left = n
+    while True:
+        total = rows.count()
+        if total <= FEW:
+            break
+        share = left / total
+        low, high = rows.agg(F.percentile_approx("o", [max(share - 0.005, 0.0), min(share + 0.005, 1.0)], 10_000)).first()[0]
+        upto, over = rows.agg(F.count_if(F.col("o") < low), F.count_if(F.col("o") <= high)).first()
+        if left <= upto:
+            part = rows.where(F.col("o") < low)
+        elif left <= over:
+            part, left = rows.where(F.col("o").between(low, high)), left - upto
+        else:
+            part, left = rows.where(F.col("o") > high), left - over
+        if part.count() == total:
+            break  # one number on all rows
+        rows = part
+    return rows.orderBy("o", "k").limit(left).agg(F.max(F.struct("o", "k")).alias("x")).first().x
+
+
+def _split(df: DataFrame, order: Column, key: str, n: int) -> DataFrame:
+    at = border(df, order, key, n)
+    first = F.lit(False) if at is None else (order < F.lit(at.o)) | (order == F.lit(at.o)) & (F.col(key) <= F.lit(at.k))
+    return df.withColumn("split", F.when(first, "validation").otherwise("train"))
 
 
 def rounded(n: int, percent: float, how: str) -> int:
@@ -55,17 +92,30 @@ def rounded(n: int, percent: float, how: str) -> int:
     return {"nearest": lambda: math.floor(exact + 0.5), "down": lambda: math.floor(exact), "up": lambda: math.ceil(exact)}[how]()
 
 
-def head_split(df: DataFrame, key: str | Column, percent: float, how: str = "nearest") -> DataFrame:
-    """Adds ``split``: the first percentage of the rows is for validation, the rest for training."""
+def head_split(df: DataFrame, key: str, percent: float, how: str = "nearest") -> DataFrame:
+    """Adds ``split``: the first percentage of the rows by a unique key is for validation, the rest for training.  Rows
+    aren't moved: the key at the border is found by counting (text keys are numbered)."""
     n = rounded(df.count(), percent, how)
-    return ranked(df, key).withColumn("split", F.when(F.col("place") < n, "validation").otherwise("train")).drop("place")
+    if df.schema[key].dataType.typeName() in ("string", "binary"):
+        return ranked(df, key).withColumn("split", F.when(F.col("place") < n, "validation").otherwise("train")).drop("place")
+    return _split(df, F.col(key), key, n)
 
 
 def hash_holdout(df: DataFrame, key: str, percent: float, seed: int = 42) -> DataFrame:
-    """Adds ``split``: of the seeded shuffle the first percentage, rounded up, is for validation."""
-    n = rounded(df.count(), percent, "up")
-    tagged = ranked(df.withColumn("_s", F.concat(shuffle_key(key, seed), F.lit(":"), F.col(key).cast("string"))), "_s")
-    return tagged.withColumn("split", F.when(F.col("place") < n, "validation").otherwise("train")).drop("place", "_s")
+    """Adds ``split``: of the seeded shuffle the first percentage, rounded up, is for validation.  The digest at the border
+    is found by counting, by the number that its first 15 digits are."""
+    digest = shuffle_key(key, seed)
+    rows = df.withColumn("_d", F.concat(digest, F.lit(":"), F.col(key).cast("string")))
+    out = _split(rows, F.conv(F.substring("_d", 1, 15), 16, 10).cast("bigint"), "_d", rounded(df.count(), percent, "up"))
+    return out.drop("_d")
+
+
+def held_out(df: DataFrame, key: str, percent: float, validation: DataFrame | None = None) -> DataFrame:
+    """Adds ``split``.  With rows of their own for validation those follow the training rows; only without any is a
+    percentage of the rows held out."""
+    if validation is not None and not validation.isEmpty():
+        return df.withColumn("split", F.lit("train")).unionByName(validation.withColumn("split", F.lit("validation")), allowMissingColumns=True)
+    return head_split(df, key, percent)
 
 
 def tail_n(df: DataFrame, n: int, key: str) -> DataFrame:

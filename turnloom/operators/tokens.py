@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.operators.sampling import in_ranges
+
 IGNORED = -100
 Tokenizer = Callable[[Column], Column]
 
@@ -48,15 +50,15 @@ def with_eos(ids: Column, eos: int) -> Column:
 
 
 def laid_out(df: DataFrame, key: str, size: str, per: Column) -> DataFrame:
-    """Adds ``s``, the place of each row's first token, and ``total`` of its group.  Groups are summed in ranges of the key
-    first, then ranges are added up, so that a group may be the whole table."""
-    order = Window.partitionBy("g", "r").orderBy(key)
-    rows = df.withColumn("g", per).withColumn("r", F.substring(F.lpad(F.col(key).cast("string"), 20, "0"), 1, 17))
-    own = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = rows.groupBy("g", "r").agg(F.sum(size).alias("n"))
-    whole = Window.partitionBy("g").orderBy("r")
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("g")))
-    return rows.withColumn("own", own).join(sums.select("g", "r", "before", "total"), ["g", "r"]).withColumn("s", F.col("own") + F.col("before")).drop("own", "before", "r")
+    """Adds ``s``, the place of each row's first token in the order of the key, and ``total`` of its group.  Groups are
+    summed in ranges of group and key first, as many as the shuffle has partitions, then ranges are added up, so that a
+    group may be the whole table."""
+    rows = in_ranges(df.withColumn("g", per), "g", key)
+    own = F.coalesce(F.sum(size).over(Window.partitionBy("g", "_b").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = rows.groupBy("g", "_b").agg(F.sum(size).alias("_n"))
+    whole = Window.partitionBy("g").orderBy("_b")  # at most a row for each range
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("_n").over(Window.partitionBy("g")))
+    return rows.withColumn("_own", own).join(sums.drop("_n"), ["g", "_b"]).withColumn("s", F.col("_own") + F.col("_before")).drop("_own", "_before", "_b", "_nth")
 
 
 def packed_blocks(df: DataFrame, key: str, ids: str, block: int, eos: int, per: Column | None = None) -> DataFrame:

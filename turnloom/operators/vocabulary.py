@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions.text import all_chinese, strip
+from turnloom.operators.ranking import words
 
 
 def read_pieces(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -14,14 +17,17 @@ def read_pieces(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.where(t != "").select(F.element_at(F.split(t, r"(?U)\s+"), 1).alias("piece")).distinct()
 
 
-def read_frequencies(lines: DataFrame, value: str = "value") -> DataFrame:
+def read_frequencies(lines: DataFrame, value: str = "value", line_no: str | None = None) -> DataFrame:
+    """``word, freq`` of lines of a word and its frequency.  With ``line_no`` in order: the most frequent first, ties by
+    line."""
     parts = F.split(strip(F.col(value)), r"(?U)\s+")
-    return lines.where(F.size(parts) > 1).select(F.get(parts, 0).alias("word"), F.get(parts, 1).try_cast("bigint").alias("freq")).where("freq is not null")
+    rows = lines.where(F.size(parts) > 1).withColumns({"word": F.get(parts, 0), "freq": F.get(parts, 1).try_cast("bigint")}).where("freq is not null")
+    return (rows.orderBy(F.desc("freq"), line_no) if line_no else rows).select("word", "freq")
 
 
-def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """How often every word occurs in all rows."""
-    return df.select(F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("freq"))
+def word_counts(df: DataFrame, text: str, segment: Callable[[Column], Column] = words) -> DataFrame:
+    """How often every word occurs in all rows.  ``segment``: from text to its words."""
+    return df.select(F.explode(segment(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
 
 
 def most_frequent(counts: DataFrame, n: int) -> DataFrame:

@@ -145,6 +145,11 @@ def bm25_topk(spark, d):
     return K.bm25(_questions(spark, d), _qa(spark, d).select(F.col("qa_id").alias("doc_id"), F.col("question").alias("text")))
 
 
+def bm25_pairs_topk(spark, d):
+    """The same with pairs of neighbouring Chinese characters as terms."""
+    return K.bm25(_questions(spark, d), _qa(spark, d).select(F.col("qa_id").alias("doc_id"), F.col("question").alias("text")), segment=K.words_and_pairs)
+
+
 def rank_fusion(spark, d):
     """The fusion of the ranking over questions with the one over answers."""
     qa = _qa(spark, d)
@@ -312,6 +317,9 @@ _BM25 = """
 {c} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS nth FROM {c}_s) WHERE nth <= {k})"""
 _ONE = _BM25.format(c="one", id="qa_id", t="question", rows=_QA, k=5)
 _TWO = _BM25.format(c="two", id="qa_id", t="answer", rows=_QA, k=5)
+_WORDS_OF = "list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_PAIRS_OF = "flatten(list_transform(list_filter(regexp_split_to_array(lower(regexp_replace({t}, '(\\p{{Han}}+)', ' \\1 ', 'g')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda r: CASE WHEN regexp_full_match(r, '\\p{{Han}}{{2,}}') THEN list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) ELSE [r] END))"
+_PAIRED = _BM25.replace(_WORDS_OF.replace("{t}", "text"), _PAIRS_OF.replace("{t}", "text")).replace(_WORDS_OF, _PAIRS_OF).format(c="one", id="qa_id", t="question", rows=_QA, k=5)
 _CONV = "SELECT {id}, CAST(t AS INTEGER) AS turn, CASE WHEN t = 0 THEN 'human' ELSE 'gpt' END AS role, CASE WHEN t = 0 THEN {a} ELSE {b} END AS value FROM {rows}, (VALUES (0), (1)) v(t)"
 _WORDS = r"(SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents) WHERE word <> '' GROUP BY word)"
 _DRAWN = """a AS (SELECT text AS left_text, row_number() OVER (ORDER BY item_id) - 1 AS l FROM eval_items), b AS (SELECT text AS right_text, row_number() OVER (ORDER BY ref_id) - 1 AS r FROM lang_reference), i AS (SELECT unnest(range(500)) AS id),
@@ -346,6 +354,7 @@ QUERIES = {
         cosine_topk,
         "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, len(q) + 1), lambda i: CAST(q[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))) / (sqrt(list_sum(list_transform(q, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6) AS score FROM q, embeddings) SELECT query_id, vec_id, score, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM s) WHERE nth <= 5",
     ),
+    "bm25_pairs_topk": (bm25_pairs_topk, f"WITH {_PAIRED} SELECT * FROM one"),
     "bm25_topk": (bm25_topk, f"WITH {_ONE} SELECT * FROM one"),
     "rank_fusion": (rank_fusion, f"WITH {_ONE}, {_TWO}, b AS (SELECT query_id, doc_id, 0.5 / (2.0 + nth) AS s FROM one UNION ALL SELECT query_id, doc_id, 0.5 / (2.0 + nth) FROM two), f AS (SELECT query_id, doc_id, round(sum(CAST(s AS DOUBLE)), 6) AS score FROM b GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS nth FROM f) WHERE nth <= 5"),
     "retrieved_passages": (retrieved_passages, f"WITH {_BM25.format(c='one', id='qa_id', t='question', rows=_QA, k=2)}, p AS (SELECT query_id, string_agg(question, '|' ORDER BY nth) AS passages FROM one JOIN {_QA} ON qa_id = doc_id GROUP BY query_id) SELECT item_id AS query_id, coalesce(passages, '') AS passages, CASE WHEN passages IS NULL THEN '{NO_CONTEXT}' END AS message FROM eval_items LEFT JOIN p ON query_id = item_id"),
