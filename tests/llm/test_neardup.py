@@ -156,3 +156,24 @@ def test_a_third_of_all_rows_is_one_text(spark):
     got = {r.id: r for r in near_groups(spark.createDataFrame(rows, "src string, id bigint, text string").repartition(8)).collect()}
     assert len(got) == 3001 and got[2997].group_id == 0 and got[5000].group_id == 0 and got[1].group_id == 1
     assert (got[0].copies, got[0].links, got[5000].copies, got[5000].links, got[1].links) == (1000, 1, 1, 1, 0)
+
+
+def test_large_blocks_are_seen_before_they_are_sorted(spark):
+    """Blocks above a tile, as seen in a part of the rows, are cut by set size and digest; the pairs stay the same."""
+    from turnloom.llm.neardup import _blocks, large_blocks
+
+    core = "a common beginning that fills most of every text of this block and goes on for long "
+    rows = [("s", k, core + " ".join(chr(97 + (k * j) % 26) * 3 for j in range(1, 2 + k % 12))) for k in range(150)]
+    df = spark.createDataFrame(rows, "src string, id bigint, text string").repartition(3)
+    large = large_blocks(df, 14, 16)
+    assert large and all(len(e) == -(-150 // 16) - 1 or len(e) < 10 for e in large.values())
+    tiles = _blocks(df, 14, 16).where("tile > 0").groupBy("key", "tile").count().collect()
+    assert max(r["count"] for r in tiles) <= 40 and len(tiles) > len(large)
+    got, want = {tuple(r) for r in near_pairs(df, tile=16).collect()}, brute(rows)
+    assert got == {tuple(r) for r in near_pairs(df).collect()} <= want and len(got) >= 0.998 * len(want)
+    assert {tuple(r) for r in near_pairs(df, bands=0, tile=16).collect()} == want  # by tiles alone
+
+
+def test_nothing_is_lost_without_bands(spark, edited):
+    df = spark.createDataFrame(edited, "src string, id bigint, text string")
+    assert {tuple(r) for r in near_pairs(df, bands=0, tile=20).collect()} == brute(edited)

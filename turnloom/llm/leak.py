@@ -103,7 +103,8 @@ def winnow(units: np.ndarray, owner: np.ndarray, k: int, w: int) -> tuple[np.nda
         best = np.where(better, later, best)
         where[better] = np.flatnonzero(better) + j
     whole = owner[:n] == owner[k + w - 2 : k + w - 2 + n]
-    kept = np.unique(where[whole])
+    kept = where[whole]  # in order already
+    kept = kept[np.concatenate([[True], kept[1:] != kept[:-1]])] if len(kept) else kept
     return kept, grams[kept]
 
 

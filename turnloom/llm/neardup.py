@@ -7,7 +7,9 @@ lower-cased letters and digits.  The steps:
    that hash to b) of 256 bits, or of more, in proportion to the set, and, from min-hashes taken two at a time, a few
    block keys.  Texts of likeness s miss a common block with probability
    (1 - s^2)^bands: 0.2 % at 0.6 with the 14 bands set here, 0.05 % at 0.65,
-   0.001 % at 0.75; the tests measure the recall against brute force.
+   0.001 % at 0.75; the tests measure the recall against brute force.  Without
+   bands (0) all texts of a source are one block: every pair of tiles is then
+   compared that set sizes and bit counts allow, and nothing is lost.
 2. Within a block, tiles of sketches are compared exactly with exclusive-or and
    bit counts.  Sets of likeness t or more differ in at most
    (1-t)/(1+t) * (|a|+|b|) members, and sketches never differ in more bits than
@@ -18,8 +20,9 @@ lower-cased letters and digits.  The steps:
 
 Exact copies (equal after lower-casing and dropping) are one text throughout:
 their ids come back at the end.  Blocks larger than ``TILE`` rows don't stay in
-one task: their rows are passed on, numbered, and every pair of tiles becomes a
-task of its own.
+one task: where a part of the rows shows them beforehand they are cut by set size
+and digest before anything is sorted, others after their sort; every pair of
+tiles becomes a task of its own.
 
 Defined results: null texts and texts with fewer than three letters or digits
 have no likeness to anything; an id given twice counts once; texts of any
@@ -36,11 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.batches import text_chunks
+from turnloom.llm.batches import distinct, text_chunks
 from turnloom.llm.leak import folded, mixed
 from turnloom.session import cut, map_batches
 
 BANDS, ROWS = 14, 2
+#: Bits of the second digest word that hold the set size.
+_SIZE = 0xFFFFFFFF
 #: Rows of a tile: blocks up to this size are compared where they are.
 TILE = 4096
 #: Words of the narrowest and the widest sketch, the largest set for the narrowest, and the set size that a word of
@@ -90,7 +95,7 @@ class Sketches:
         c = codes.astype(np.uint64)
         grams = mixed(c[:-2] << _U(42) | c[1:-1] << _U(21) | c[2:]) & _LOW44
         one = owner[2:] == owner[:-2]
-        key = np.unique(owner[:-2][one].astype(np.uint64) << _U(44) | grams[one])
+        key = distinct(owner[:-2][one].astype(np.uint64) << _U(44) | grams[one])
         of, grams = (key >> _U(44)).astype(np.int64), key & _LOW44
         first = np.searchsorted(of, self.place)
         self.size = np.diff(np.append(first, len(of)))
@@ -104,9 +109,12 @@ class Sketches:
             own = np.zeros(n, np.uint64)
             np.bitwise_xor.at(own, word[ends[k] : ends[k + 1]] & n - 1, bit[ends[k] : ends[k + 1]])
             self.wide[k] = own.tobytes()
+        own = _U(xxhash.xxh64_intdigest(salt))
+        if not bands:
+            self.keys = [np.full(len(self.place), own)]
+            return
         spread = mixed(grams)
         low = [np.minimum.reduceat(spread * a ^ (spread >> _U(7)), first) for a in _multipliers(bands * ROWS)]
-        own = _U(xxhash.xxh64_intdigest(salt))
         self.keys = [mixed(low[ROWS * b] * _U(0x9FB21C651E98DF25) + mixed(low[ROWS * b + 1] + _U(b)) + own) for b in range(bands)]
 
     def digests(self) -> list[bytes]:
@@ -123,10 +131,57 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _blocks(docs: DataFrame, bands: int) -> DataFrame:
-    """One row for each text and block: key, digest (104 bits) with the set size, sketch.  A text that a task has met
+#: Rows, about, that say which blocks are large.
+LOOKED_AT = 20_000
+
+
+def _order(size: np.ndarray, da: np.ndarray) -> np.ndarray:
+    """Set size and digest as one number that orders the rows of a block."""
+    return size.astype(np.uint64) << _U(32) | da >> _U(32)
+
+
+def large_blocks(docs: DataFrame, bands: int, tile: int) -> dict[int, np.ndarray]:
+    """Key to the borders of its tiles (set size, then digest) for blocks that hold more than ``tile`` rows, by what a
+    bounded part of the rows says.  It decides only where rows go: a large block that it doesn't show is cut into
+    tiles later, after one sort."""
+    every = max(1, docs.count() // LOOKED_AT)
+    some = docs.where(F.pmod(F.xxhash64("src", "id"), F.lit(every)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches, 1):
+            for src, part in _by_source(chunk):
+                s = Sketches(part.column(1).to_pylist(), src, bands)
+                if len(s.place):
+                    order = _signed(_order(s.size, _halves(s.digests())[0]))
+                    for key in s.keys:
+                        yield pa.RecordBatch.from_arrays([_signed(key), order], names=["key", "place"])
+
+    seen = map_batches(some.select("src", "text"), run, "key bigint, place bigint").groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("place")).alias("places"))
+    out = {}
+    for r in seen.where(F.col("n") * every > tile).collect():  # at most the rows looked at, once a band
+        places, tiles = np.array(r.places, np.int64).view(np.uint64), -(-r.n * every // tile)
+        out[r.key & 0xFFFFFFFFFFFFFFFF] = np.sort(places)[np.arange(1, tiles) * len(places) // tiles]
+    return out
+
+
+def _tile_of(large: dict[int, np.ndarray], keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The tile, from 1, of every row of a large block; 0 for all others."""
+    out = np.zeros(len(keys), np.int64)
+    if large:
+        names = np.array(sorted(large), np.uint64)
+        near = names[np.minimum(np.searchsorted(names, keys), len(names) - 1)] == keys
+        for key in distinct(keys[near]).tolist():
+            here = keys == _U(key)
+            out[here] = np.searchsorted(large[key], order[here], side="right") + 1
+    return out
+
+
+def _blocks(docs: DataFrame, bands: int, tile: int = TILE) -> DataFrame:
+    """One row for each text and block: key, digest (96 bits) with the set size, tile, sketch.  A text that a task has met
     before is left out, so copies reach the shuffle once a task at most."""
 
+    large = docs.sparkSession.sparkContext.broadcast(large_blocks(docs, bands, tile))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         for chunk in text_chunks(batches, 1):
@@ -145,13 +200,14 @@ def _blocks(docs: DataFrame, bands: int) -> DataFrame:
                     continue
                 pick = np.array(new)
                 a, b = _halves([digests[k] for k in new])
-                b = (b & ~_U(0xFFFFFF)) | np.minimum(s.size[pick], 0xFFFFFF).astype(np.uint64)
+                b = (b & ~_U(_SIZE)) | s.size[pick].astype(np.uint64)
                 narrow = s.size[pick] <= NARROW  # a wide sketch folds to the narrow one: that is left out beside it
-                fixed = [np.tile(x, bands) for x in (a, b, *(np.where(narrow, w[pick], _U(0)) for w in s.sketch))]
-                wide = pa.array([s.wide[k] for k in new] * bands, pa.binary())
-                yield pa.RecordBatch.from_arrays([*(_signed(x) for x in (np.concatenate([k[pick] for k in s.keys]), *fixed)), wide], names=[*_BLOCK, "wide"])
+                fixed = [np.tile(x, len(s.keys)) for x in (a, b, *(np.where(narrow, w[pick], _U(0)) for w in s.sketch))]
+                wide = pa.array([s.wide[k] for k in new] * len(s.keys), pa.binary())
+                keys, order = np.concatenate([k[pick] for k in s.keys]), np.tile(_order(s.size[pick], a), len(s.keys))
+                yield pa.RecordBatch.from_arrays([*(_signed(x) for x in (keys, *fixed)), wide, pa.array(_tile_of(large.value, keys, order))], names=[*_BLOCK, "wide", "tile"])
 
-    return map_batches(docs.select("src", "text"), run, ", ".join(f"{c} bigint" for c in _BLOCK) + ", wide binary")
+    return map_batches(docs.select("src", "text"), run, ", ".join(f"{c} bigint" for c in _BLOCK) + ", wide binary, tile bigint")
 
 
 _BLOCK = ["key", "da", "db", *(f"w{i}" for i in range(WORDS))]
@@ -170,7 +226,7 @@ class Rows:
 
     def __init__(self, key: np.ndarray, fixed: np.ndarray, wide: np.ndarray):
         self.key, self.fixed, self.wide = key, fixed, wide
-        self.size = (fixed[:, 1] & _U(0xFFFFFF)).astype(np.int64)
+        self.size = (fixed[:, 1] & _U(_SIZE)).astype(np.int64)
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, key: int, first: int, wide: int) -> Rows:
@@ -320,8 +376,8 @@ def candidate_pairs(blocks: DataFrame, t: float, tile: int = TILE) -> DataFrame:
         none = pa.nulls(batch.num_rows, pa.int64())
         return pa.RecordBatch.from_arrays([*batch.columns, *[none] * WORDS, pa.nulls(batch.num_rows, pa.binary())], names=names)
 
-    def passed(rows: Rows, at: int) -> pa.RecordBatch:
-        number = np.arange(at, at + len(rows)) // tile + 1
+    def passed(rows: Rows, at: int, number: np.ndarray | None = None) -> pa.RecordBatch:
+        number = np.arange(at, at + len(rows)) // tile + 1 if number is None else number
         fixed = [_signed(rows.fixed[:, k]) for k in range(2 + WORDS)]
         return pa.RecordBatch.from_arrays([pa.array(number), _signed(rows.key), pa.array(np.zeros(len(rows), np.int64)), *fixed, pa.array(rows.wide.tolist(), pa.binary())], names=names)
 
@@ -341,12 +397,18 @@ def candidate_pairs(blocks: DataFrame, t: float, tile: int = TILE) -> DataFrame:
                 yield full(_pairs_out(rows.fixed[p], rows.fixed[q]))
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of small blocks; the rows of large ones pass through with the number of their tile, whatever their
-        number, so that no block is held as a whole."""
+        """Pairs of small blocks; the rows of large ones pass through with the number of their tile, which they have
+        already or get here, whatever their number, so that no block is held as a whole."""
         tiles, held, large, seen = Tiles(t), Rows.none(), None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
+            number = batch.column(4 + WORDS).to_numpy()
+            if (number > 0).any():
+                yield passed(Rows.of(batch, 0, 1, 3 + WORDS)[number > 0], 0, number[number > 0])
+                batch = batch.filter(pa.array(number == 0))
+                if not batch.num_rows:
+                    continue
             held = held.plus(Rows.of(batch, 0, 1, 3 + WORDS)).without_copies()
             if large is not None:
                 n = int(np.searchsorted(np.cumsum(held.key != large), 1))
@@ -366,8 +428,9 @@ def candidate_pairs(blocks: DataFrame, t: float, tile: int = TILE) -> DataFrame:
                 held = Rows.none()
         yield from done(held, tiles)
 
-    size = F.col("db").bitwiseAND(0xFFFFFF)
-    ordered = blocks.repartition("key").sortWithinPartitions("key", size, "da", "db")
+    size = F.col("db").bitwiseAND(_SIZE)
+    route = F.when(F.col("tile") == 0, F.col("key")).otherwise(F.xxhash64("key", "tile"))
+    ordered = blocks.repartition(route).sortWithinPartitions("key", size, "da", "db")
     first = cut(map_batches(ordered, small, schema))
     pairs = first.where("kind = 0").select(*_PAIR[1:])
     rows = first.where("kind > 0").select(F.col("a0").alias("key"), F.col("kind").alias("tile"), F.col("b0").alias("da"), F.col("b1").alias("db"), *names[5:])
@@ -396,7 +459,7 @@ def candidate_pairs(blocks: DataFrame, t: float, tile: int = TILE) -> DataFrame:
             yield from crossed(tiles, *held)
 
     def crossed(tiles: Tiles, rows: Rows, side: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x, y = rows[side == 0], rows[side == 1]
+        x, y = rows[side == 0].without_copies(), rows[side == 1].without_copies()
         p, q = tiles.between(x, y, False)
         if len(p):
             out = _pairs_out(x.fixed[p], y.fixed[q])
@@ -421,7 +484,7 @@ def _texts(docs: DataFrame) -> DataFrame:
                     continue
                 pieces = [raw[start[p] : end[p]].tobytes() for p in place.tolist()]
                 a, b = _halves([xxhash.xxh3_128_digest(head + x) for x in pieces])
-                b = b & ~_U(0xFFFFFF)
+                b = b & ~_U(_SIZE)
                 ids = part.column(1).take(pa.array(place))
                 text = pa.array([x.decode("utf-32-le", "surrogatepass") for x in pieces], pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([src] * len(place), pa.string()), ids, _signed(a), _signed(b), text], names=["src", "id", "d0", "d1", "norm"])
@@ -441,7 +504,7 @@ def likeness(left: list[str], right: list[str], t: float = 0.0) -> np.ndarray:
     grams = c[:-2] << _U(42) | c[1:-1] << _U(21) | c[2:]
     one = of[2:] == of[:-2]
     of, (names, number) = of[:-2][one], np.unique(grams[one], return_inverse=True)
-    each = np.unique(of * len(names) + number)
+    each = distinct(of * len(names) + number)
     of, number = each // len(names), each % len(names)
     start = np.searchsorted(of, np.arange(len(texts) + 1))
     size = np.diff(start)
@@ -483,8 +546,8 @@ def _alike(pairs: DataFrame, t: float) -> DataFrame:
 def near_texts(docs: DataFrame, t: float = 0.6, bands: int = BANDS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(members, links).  ``docs`` has ``src``, ``id`` and ``text``.  Members: ``src``, ``id`` and the digest
     (``d0``, ``d1``) of its text.  Links: pairs of digests of different texts of one source, with their likeness."""
-    candidates = cut(candidate_pairs(_blocks(docs, bands), t, tile))
-    plain = F.col("a1").bitwiseAND(~0xFFFFFF), F.col("b1").bitwiseAND(~0xFFFFFF)
+    candidates = cut(candidate_pairs(_blocks(docs, bands, tile), t, tile))
+    plain = F.col("a1").bitwiseAND(~_SIZE), F.col("b1").bitwiseAND(~_SIZE)
     candidates = candidates.select("a0", plain[0].alias("a1"), "b0", plain[1].alias("b1"))
     texts = _texts(docs)
     wanted = candidates.select(F.col("a0").alias("d0"), F.col("a1").alias("d1")).unionByName(candidates.select(F.col("b0").alias("d0"), F.col("b1").alias("d1"))).distinct()
