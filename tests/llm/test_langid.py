@@ -59,6 +59,12 @@ def test_languages_have_a_row_for_each_row(spark, model):
     assert got == [(1, "ru"), (1, "ru"), (2, None), (3, None)]
 
 
+def test_json_ends_at_its_own_brace():
+    t = 'see {"a": {"b": "x}"}, "c": [1]} and then a sentence, [{"d": 1}] more } here { open'
+    got = prose(t)
+    assert len(got) == len(t) and "and then a sentence," in got and "more } here { open" in got and '"' not in got
+
+
 def test_prose_keeps_places():
     t = 'a {"x": 1} b `code` <tag> c'
     assert len(prose(t)) == len(t) and "code" not in prose(t) and prose(t).endswith(" c")

@@ -23,7 +23,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from turnloom.llm.batches import text_chunks
 from turnloom.session import map_batches
@@ -55,6 +56,7 @@ class BpeEncoder:
             self.token[rank] = token
         self.rank = ranks
         self.length = [len(t) for t in self.token]
+        self.longest = max(self.length, default=1)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
@@ -133,7 +135,7 @@ class BpeEncoder:
 
     def _longest_at(self, text: str, at: int) -> int:
         value = -1
-        n = self.automaton.longest_prefix(text[at : at + 160])
+        n = self.automaton.longest_prefix(text[at : at + self.longest])
         rank, raw = self.rank, text[at : at + n].encode("latin-1")
         while n:
             value = rank.get(raw[:n], -1)
@@ -230,23 +232,30 @@ class BpeEncoder:
         return upto[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32), ids
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
+def ranks_of(content: bytes) -> dict[bytes, int]:
+    """Entry to rank, from the content of a vocabulary file."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
+
+
+def vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The content of a vocabulary file of the driver's for all executors, which needn't have it; a megabyte or so."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return spark.sparkContext.broadcast(f.read())
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> BpeEncoder:
+def encoder(content: bytes) -> BpeEncoder:
     """One encoder for each Python worker."""
-    return BpeEncoder(read_ranks(path))
+    return BpeEncoder(ranks_of(content))
 
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "ids", path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken") -> DataFrame:
     """``key`` and the list of token ids of ``text``, one row for each row of ``docs``, no shuffle."""
     kind = docs.schema[key].dataType.simpleString()
+    content = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(content.value)
         for chunk in text_chunks(batches, 1):
             offsets, ids = bpe.encode_batch(chunk.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([chunk.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=[key, out])

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.batches import text_chunks
 from turnloom.llm.leak import mixed
+from turnloom.llm.shapes import lower_shapes
 from turnloom.session import map_batches
 
 LANGUAGES = ("en", "zh", "fr", "de", "es", "ru", "ja")
@@ -59,17 +60,19 @@ def named_language(label: str | None) -> str | None:
     return _BY_NAME.get(text) or _BY_NAME.get(re.split(r"[-_ (（]", text, maxsplit=1)[0]) if text else None
 
 
-#: What is no prose: fenced and inline code, JSON, tags, links, addresses, and role marks at the start of a line.
+#: What is no prose: fenced and inline code, tags, links, addresses, and role marks at the start of a line.
 _NOT_PROSE = re.compile(
-    r"```.*?```|`[^`\n]*`|<[/!]?[A-Za-z][^<>\n]*>|https?://\S+|\S+@\S+|^[^\S\n]*[\w ]{2,20}:(?=\s|\{|\[)|\[?\{[^\n]*[}\]]",
+    r"```.*?```|`[^`\n]*`|<[/!]?[A-Za-z][^<>\n]*>|https?://\S+|\S+@\S+|^[^\S\n]*[\w ]{2,20}:(?=\s|\{|\[)",
     re.S | re.M,
 )
+#: Braces, line ends, and whole strings between them.
+_BRACE = re.compile(r'"(?:[^"\\\n]|\\.)*"(?=\s*[:,}\]])|[{}\n]')
 _CODE_HINT = re.compile(r"[`<{@]|://|^[^\S\n]*[\w ]{2,20}:", re.M)
 
 #: Classes of code points.
 OTHER, LETTER, WIDE, MARK, ENDS, DOT, BREAK, SPACE, INNER, UNSEEN = range(10)
-# Cyrillic and Greek letters, lower case, with the Latin letters of their shape.
-SHAPES = dict(zip("аеорсухѕіјһӏԁԛԝοαβεζηικμνρτυχ", "aeopcyxsijhldqwoabezhikmvptyx", strict=True))
+#: Cyrillic and Greek letters, lower case, with the Latin letters of their shape.
+SHAPES = lower_shapes()
 
 
 @lru_cache(maxsize=1)
@@ -106,9 +109,40 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, low, upper
 
 
+def _json_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of JSON: from a brace, or a bracket before one, up to the brace that closes it; strings are stepped over.  A
+    brace that isn't closed on its line ends nothing but itself."""
+    at = text.find("{")
+    while at >= 0:
+        depth, end = 0, -1
+        for m in _BRACE.finditer(text, at):
+            ch = m.group()
+            if ch == "\n":
+                break
+            depth += (ch == "{") - (ch == "}")
+            if not depth:
+                end = m.end()
+                break
+        if end < 0:
+            at = text.find("{", at + 1)
+            continue
+        start = at - 1 if text[at - 1 : at] == "[" else at
+        yield start, end + 1 if text[end : end + 1] == "]" else end
+        at = text.find("{", end)
+
+
 def prose(text: str) -> str:
     """The text with everything that isn't prose blanked out, place by place."""
-    return _NOT_PROSE.sub(lambda m: "\n" * len(m.group()), text) if _CODE_HINT.search(text) else text
+    if not _CODE_HINT.search(text):
+        return text
+    text = _NOT_PROSE.sub(lambda m: "\n" * len(m.group()), text)
+    if "{" in text:
+        out, done = [], 0
+        for a, b in _json_spans(text):
+            out += [text[done:a], "\n" * (b - a)]
+            done = b
+        text = "".join([*out, text[done:]])
+    return text
 
 
 class Sentences:

@@ -28,15 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.batches import text_chunks
+from turnloom.llm.shapes import PAIRS
 from turnloom.session import cut, map_batches
 
-# Letters of the same shape, other scripts on the left of each pair.
-SAME_SHAPE = (
-    "аa еe оo рp сc уy хx ѕs іi јj һh ӏl ԁd ԛq ԝw ɡg ɑa "
-    "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ӀI ԚQ ԜW "
-    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ϳj "
-    "օo ՕO ヘへ ロ口 ニ二 カ力 エ工 タ夕 ト卜 ハ八"
-)
 # Kinds of hyphen.
 HYPHENS = "-‐‑‒–−﹣"
 # Invisible characters that aren't of the category Cf.
@@ -102,9 +96,8 @@ def look_alike_classes() -> dict[str, list[str]]:
         c.join(ch, "")
     for ch in HYPHENS:
         c.join(ch, "-")
-    for pair in SAME_SHAPE.split():
-        if len(pair) == 2 and nfd(pair[0]) != nfd(pair[1]):
-            c.join(nfd(pair[0]), nfd(pair[1]))
+    for a, b in PAIRS:
+        c.join(nfd(a), nfd(b))
     return c.members()
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.llm.batches import text_chunks
-from turnloom.llm.encode import SPLIT_PATTERN, TOKENIZER_DIR, read_ranks
+from turnloom.llm.encode import SPLIT_PATTERN, TOKENIZER_DIR, ranks_of, vocabulary
 from turnloom.session import cut, map_batches
 
 #: Windows, shortest first; the last is the capacity of a container.
@@ -45,18 +45,19 @@ BUCKET_ROWS = 1_000_000
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _tokenizer(content: bytes):
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    return tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks_of(content), special_tokens={})
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken") -> DataFrame:
     """``key`` and ``size``: the number of tokens, 0 for null and empty texts."""
     kind = docs.schema[key].dataType.simpleString()
+    content = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(path).encode_ordinary
+        encode = _tokenizer(content.value).encode_ordinary
         for chunk in text_chunks(batches, 1):
             sizes = [len(encode(t)) if t else 0 for t in chunk.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(sizes, pa.int64())], names=[key, "size"])
