@@ -5,7 +5,9 @@ Nearest centroid: a sentence becomes a TF-IDF vector of its character n-grams
 compared by cosine with several centroids per language, which spherical k-means
 finds among the labelled samples.  A sentence further than ``FAR`` from every
 centroid, or no nearer to its language than to the next by ``CLEAR``, is
-rejected; to count as a whole sentence of a language it has to be nearer by ``SURE``.
+rejected; to count as a whole sentence of a language it has to be nearer by ``SURE``
+and to have four words and ``LETTERS`` letters, or eight characters of a wide script.
+Sentences are compared only with languages of their kind of script (wide or not).
 
 A document's language is the one with most letters.  It is mixed if it holds a
 whole sentence in each of two languages or more; names, terms, code, JSON, mark-
@@ -358,6 +360,18 @@ def document_languages(docs: DataFrame, model: Model, key: str, text: str) -> Da
     return map_batches(docs.select(docs[key], docs[text]), run, f"`{key}` {kind}, {_OUT}")
 
 
+_CLUSTER = re.compile(r".[\u0300-\u036f\u3099\u309a]*", re.S)
+
+
+def composed_places(text: str) -> tuple[str, np.ndarray | None]:
+    """The text with its accents put together, and where each of its characters (and its end) was before; None where
+    nothing has moved."""
+    if text.isascii() or unicodedata.is_normalized("NFC", text):
+        return text, None
+    parts, at = [unicodedata.normalize("NFC", m.group()) for m in _CLUSTER.finditer(text)], [m.start() for m in _CLUSTER.finditer(text)]
+    return "".join(parts), np.append(np.repeat(at, [len(x) for x in parts]), len(text))
+
+
 def language_segments(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     """Runs of sentences in one language: ``key``, ``start`` and ``stop`` (code points from 0), ``lang``,
     ``confidence``.  Sentences without a language belong to the run they are in.  A text without a whole sentence is one
@@ -367,7 +381,7 @@ def language_segments(docs: DataFrame, model: Model, key: str, text: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, 1, size=1 << 20):
-            texts = chunk.column(1).to_pylist()
+            texts, places = zip(*(composed_places(t or "") for t in chunk.column(1).to_pylist()), strict=True)
             j = Judged(shared.value, texts, composed=False)
             at = np.flatnonzero(j.whole)
             rest = np.setdiff1d(np.arange(len(texts)), j.s.text[at])
@@ -375,7 +389,7 @@ def language_segments(docs: DataFrame, model: Model, key: str, text: str) -> Dat
                 main, _, _, sure = Judged(shared.value, [texts[k] for k in rest.tolist()]).per_text()
                 told = np.flatnonzero(main >= 0)
                 here = rest[told]
-                cols = [chunk.column(0).take(pa.array(here)), pa.array(np.zeros(len(here), np.int64)), pa.array([len(texts[k]) for k in here.tolist()], pa.int64()), pa.array([LANGUAGES[k] for k in main[told].tolist()], pa.string()), pa.array(sure[told].astype(np.float64))]
+                cols = [chunk.column(0).take(pa.array(here)), pa.array(np.zeros(len(here), np.int64)), pa.array([len(texts[k]) if places[k] is None else int(places[k][-1]) for k in here.tolist()], pa.int64()), pa.array([LANGUAGES[k] for k in main[told].tolist()], pa.string()), pa.array(sure[told].astype(np.float64))]
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "start", "stop", "lang", "confidence"])
             if not len(at):
                 continue
@@ -385,7 +399,11 @@ def language_segments(docs: DataFrame, model: Model, key: str, text: str) -> Dat
             weight = j.s.letters[at].astype(np.float64)
             conf = np.add.reduceat(weight * j.confidence[at], first) / np.add.reduceat(weight, first)
             base = j.s.text_start[text[first]]
-            cols = [chunk.column(0).take(pa.array(text[first])), pa.array(j.s.start[at[first]] - base), pa.array(j.s.stop[at[last]] - base), pa.array([LANGUAGES[k] for k in lang[first].tolist()]), pa.array(conf)]
+            start, stop = j.s.start[at[first]] - base, j.s.stop[at[last]] - base
+            for k, t in enumerate(text[first].tolist()):
+                if places[t] is not None:
+                    start[k], stop[k] = places[t][start[k]], places[t][min(stop[k], len(places[t]) - 1)]
+            cols = [chunk.column(0).take(pa.array(text[first])), pa.array(start), pa.array(stop), pa.array([LANGUAGES[k] for k in lang[first].tolist()]), pa.array(conf)]
             yield pa.RecordBatch.from_arrays(cols, names=[key, "start", "stop", "lang", "confidence"])
 
     return map_batches(docs.select(docs[key], docs[text]), run, f"`{key}` {kind}, start bigint, stop bigint, lang string, confidence double")
