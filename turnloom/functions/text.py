@@ -156,5 +156,6 @@ def perplexity(loss: ColumnOrName) -> Column:
     return F.exp(_c(loss).cast("double"))
 
 
-def rope_factor(length: int, trained: int) -> float:
-    return float(math.ceil(length / trained))
+def rope_factor(length: int | ColumnOrName, trained: int) -> float | Column:
+    """How many times the trained length a length is, rounded up; of a number or of a column."""
+    return float(math.ceil(length / trained)) if isinstance(length, int) else F.ceil(_c(length) / trained).cast("double")

@@ -203,8 +203,8 @@ def function_format(spark, d):
 
 
 def tools_rendered(spark, d):
-    """The tool list of every record in all dialects."""
-    p = _prefs(spark, d).where("tools is not null")
+    """The tool list of every record in all dialects; null where it has none."""
+    p = _prefs(spark, d)
     return p.select("pref_id", *(TL.tools_prompt(F.col("tools"), k, F.lit("01 Jan 2024")).alias(k) for k in TL.DIALECTS))
 
 
@@ -215,6 +215,27 @@ def call_extracted(spark, d):
     return x.select("pref_id", "x.is_call", call["name"].alias("name"), call["arguments"].alias("arguments"))
 
 
+def react_instructions(spark, d):
+    return _prefs(spark, d).select("pref_id", TL.react_prompt(F.col("tools")).alias("text"))
+
+
+def calls_read_back(spark, d):
+    """Calls of the turns, written in every dialect and read again."""
+    t = turns(spark, d).where("role = 'function_call'")
+    call = F.from_json("text", "name string, arguments string")
+    t = t.select("conv_id", "turn", F.array(F.struct(call["name"].alias("name"), F.regexp_extract("text", r'(?s)"arguments": (.*)\}$', 1).alias("arguments"))).alias("calls"))
+    back = lambda k: F.get(TL.extract_calls(TL.format_calls(F.col("calls"), k), k)["calls"], 0)
+    read = t.select("conv_id", "turn", *(back(k).alias(k) for k in TL.DIALECTS))
+    return read.select("conv_id", "turn", *(F.concat(F.col(k)["name"], F.lit(" "), F.col(k)["arguments"]).alias(k) for k in TL.DIALECTS))
+
+
+def own_template(spark, d):
+    """Questions in a template of the user's own."""
+    R.register_template(R.Template("own_plain", "Q: {query}\nA:", "\n", "Be brief.", "Q:"))
+    qa = table(spark, d, "qa_sample").dropDuplicates(["qa_id"])
+    return qa.select("qa_id", R.single_turn(F.col("question"), "own_plain").alias("prompt"))
+
+
 def react_parse(spark, d):
     return _prefs(spark, d).select("pref_id", TL.react_parts(F.concat(F.lit("Thought: look\n"), F.col("chosen"))).alias("x")).select("pref_id", "x.content", "x.name", "x.arguments")
 
@@ -253,6 +274,10 @@ a4 AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS kept, row_number() OVER
 alt AS (SELECT conv_id, CAST(k // 2 AS INTEGER) AS pair, max(text) FILTER (k % 2 = 0) AS question, max(text) FILTER (k % 2 = 1) AS answer FROM a4 WHERE kept % 2 = 0 GROUP BY conv_id, k // 2)
 """
 
+#: Tool lists in their parts; names of tools stand first in each.
+_TOOLS = """tp AS (SELECT pref_id, CASE WHEN tools IS NULL OR tools IN ('', '[]') THEN [] ELSE string_split(substr(tools, 2, length(tools) - 2), '}, {"name": ') END AS raw FROM c),
+tl AS (SELECT pref_id, len(raw) AS n, list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN i > 1 THEN '{"name": ' ELSE '' END || raw[i] || CASE WHEN i < len(raw) THEN '}' ELSE '' END) AS parts FROM tp)"""
+
 QUERIES = {
     "conv_pairs": (conv_pairs, f"WITH {TURNS} SELECT * FROM pairs"),
     "conv_pairs_keep_open": (conv_pairs_keep_open, f"WITH {TURNS} SELECT * FROM open_pairs"),
@@ -286,7 +311,17 @@ FROM turns WHERE role IN ('human', 'gpt', 'observation', 'function_call')"""),
     "stopped_stream": (stopped_stream, f"WITH {TURNS} SELECT conv_id, turn FROM (SELECT *, max(CAST(contains(text, '尾号') AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS seen FROM turns) WHERE seen = 0"),
     "observation_format": (observation_format, f"WITH {TURNS} SELECT conv_id, turn, '<tool_response>' || chr(10) || text || chr(10) || '</tool_response>' AS qwen, '<|observation|>' || chr(10) || text AS glm4, '[TOOL_RESULTS] {{\"content\": ' || text || '}}[/TOOL_RESULTS]' AS mistral, 'Observation: ' || text AS other FROM turns WHERE role = 'observation'"),
     "function_format": (function_format, f"WITH {TURNS} SELECT conv_id, turn, 'Action: f' || chr(10) || 'Action Input: ' || text || chr(10) AS \"default\", 'f' || chr(10) || text AS glm4, '{{\"name\": \"f\", \"parameters\": ' || text || '}}' AS llama3, '[{{\"name\": \"f\", \"arguments\": ' || text || '}}]' AS mistral, '<tool_call>' || chr(10) || '{{\"name\": \"f\", \"arguments\": ' || text || '}}' || chr(10) || '</tool_call>' AS qwen FROM turns WHERE role = 'function_call'"),
-    "tools_rendered": (tools_rendered, None),
+    "tools_rendered": (tools_rendered, f"""WITH {TURNS}, {_TOOLS} SELECT pref_id, CASE WHEN n > 0 THEN {quoted(TL.DEFAULT_HEAD)} || list_aggregate(list_transform(parts, lambda x: '> Tool Name: ' || json_extract_string(x, '$.name') || chr(10) || 'Tool Description: ' || json_extract_string(x, '$.description') || chr(10) || 'Tool Args:' || chr(10)
+|| list_aggregate(list_transform(json_keys(x, '$.parameters.properties'), lambda k: '  - ' || k || ' (' || json_extract_string(x, '$.parameters.properties.' || k || '.type') || CASE WHEN contains(json_extract(x, '$.parameters.required')::VARCHAR, '"' || k || '"') THEN ', required' ELSE '' END || '): ' || json_extract_string(x, '$.parameters.properties.' || k || '.description') || chr(10)), 'string_agg', '') || chr(10)), 'string_agg', '')
+|| replace({quoted(TL.DEFAULT_TAIL.replace("{{", "{").replace("}}", "}"))}, '{{names}}', list_aggregate(list_transform(parts, lambda x: json_extract_string(x, '$.name')), 'string_agg', ', ')) END AS "default",
+CASE WHEN n > 0 THEN {quoted(TL.GLM4_HEAD)} || list_aggregate(list_transform(parts, lambda x: chr(10) || chr(10) || '## ' || json_extract_string(x, '$.name') || chr(10) || chr(10) || json_pretty(x) || {quoted(TL.GLM4_TOOL.split("{body}")[1])}), 'string_agg', '') END AS glm4,
+CASE WHEN n > 0 THEN {quoted(TL.LLAMA3_HEAD.format(date="01 Jan 2024"))} || list_aggregate(list_transform(parts, lambda x: json_pretty('{{"type": "function", "function": ' || x || '}}') || chr(10) || chr(10)), 'string_agg', '') END AS llama3,
+CASE WHEN n > 0 THEN '[AVAILABLE_TOOLS] [' || list_aggregate(list_transform(parts, lambda x: '{{"type": "function", "function": ' || x || '}}'), 'string_agg', ', ') || '][/AVAILABLE_TOOLS]' END AS mistral,
+CASE WHEN n > 0 THEN {quoted(TL.QWEN_HEAD)} || list_aggregate(list_transform(parts, lambda x: chr(10) || '{{"type": "function", "function": ' || x || '}}'), 'string_agg', '') || {quoted(TL.QWEN_TAIL)} END AS qwen FROM tl"""),
+    "react_instructions": (react_instructions, f"""WITH {TURNS}, {_TOOLS}, nm AS (SELECT *, list_aggregate(list_transform(parts, lambda x: json_extract_string(x, '$.name')), 'string_agg', ', ') AS names FROM tl)
+SELECT pref_id, CASE WHEN n > 0 THEN replace({quoted(TL.REACT_HEAD)}, '{{tools}}', list_aggregate(list_transform(parts, lambda x: replace(replace(replace(replace({quoted(TL.REACT_TOOL.replace("{description}", "{d}").replace("{parameters}", "{p}"))}, '{{model}}', json_extract_string(x, '$.name')), '{{human}}', json_extract_string(x, '$.name')), '{{d}}', json_extract_string(x, '$.description')), '{{p}}', regexp_extract(x, '(?s)"parameters": (.*)\\}}$', 1))), 'string_agg', chr(10) || chr(10))) || replace({quoted(TL.REACT_TAIL)}, '{{names}}', names) END AS text FROM nm"""),
+    "calls_read_back": (calls_read_back, f"""WITH {TURNS}, x AS (SELECT conv_id, turn, json_extract_string(text, '$.name') || ' ' || regexp_extract(text, '(?s)"arguments": (.*)\\}}$', 1) AS c FROM turns WHERE role = 'function_call') SELECT conv_id, turn, c AS "default", c AS glm4, c AS llama3, c AS mistral, c AS qwen FROM x"""),
+    "own_template": (own_template, "SELECT qa_id, 'Be brief.' || chr(10) || 'Q: ' || question || chr(10) || 'A:' AS prompt FROM (SELECT DISTINCT qa_id, question FROM qa_sample)"),
     "call_extracted": (call_extracted, f"""WITH {TURNS}, x AS (SELECT pref_id, regexp_extract(chosen, '(?s)Action:\\s*(\\w+)\\s*Action Input:\\s*(.+?)\\s*$', 1) AS n, regexp_extract(chosen, '(?s)Action:\\s*(\\w+)\\s*Action Input:\\s*(.+?)\\s*$', 2) AS a FROM c)
 SELECT pref_id, coalesce(n <> '' AND json_valid(a), false) AS is_call, CASE WHEN n <> '' AND json_valid(a) THEN n END AS name, CASE WHEN n <> '' AND json_valid(a) THEN a END AS arguments FROM x"""),
     "react_parse": (react_parse, f"""WITH {TURNS}, x AS (SELECT pref_id, 'Thought: look' || chr(10) || chosen AS t FROM c), y AS (SELECT *, strpos(t, chr(10) || 'Action:') AS a, strpos(t, chr(10) || 'Action Input:') AS b FROM x), z AS (SELECT *, trim(substr(t, a + 8, b - a - 8), ' ' || chr(10) || chr(9)) AS nm FROM y)

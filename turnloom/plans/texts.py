@@ -103,6 +103,28 @@ def document_chunks(spark, d):
     return CH.document_chunks(_docs(spark, d), "doc_id", "text")
 
 
+def bos_ids(spark, d):
+    """Ids with one at their beginning, as for the first segment of a text."""
+    ids = T.tokenized(F.col("text"), bos=1)
+    return _docs(spark, d).where("text is not null").select("doc_id", F.size(ids).alias("n"), F.get(ids, 0).alias("first"))
+
+
+def block_labels(spark, d):
+    """Packed blocks with their mask and labels."""
+    docs = _docs(spark, d).select("doc_id", T.code_points(F.coalesce("text", F.lit(""))).alias("ids"))
+    b = T.block_rows(T.packed_blocks(docs, "doc_id", "ids", 512, 2))
+    add = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return b.select("g", "block", add(F.col("attention_mask")).alias("real"), add(F.col("labels")).alias("total"))
+
+
+def loss_perplexity(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(X.perplexity(F.col("l_discount") * 20), 6).alias("perplexity"))
+
+
+def length_factor(spark, d):
+    return _docs(spark, d).select("doc_id", X.rope_factor("n_chars", 512).alias("factor"))
+
+
 def merged_lines(spark, d):
     lines = table(spark, d, "en_article_tail500").where("text is not null").select("art_id", "line_id", "text").dropDuplicates(["line_id"])
     return CH.merged_lines(lines, "art_id", "line_id", "text")
@@ -173,6 +195,18 @@ _SENTENCES = r"""s AS (SELECT doc_id, string_split(regexp_replace(replace(text,
 f AS (SELECT doc_id, list_reduce(list_prepend(struct_pack(o := CAST([] AS VARCHAR[]), c := ''), list_transform(p, lambda x: struct_pack(o := CAST([] AS VARCHAR[]), c := x))),
   lambda a, x: CASE WHEN length(a.c) + length(x.c) <= 250 OR a.c = '' THEN struct_pack(o := a.o, c := a.c || CASE WHEN a.c = '' THEN '' ELSE ' ' END || x.c) ELSE struct_pack(o := list_append(a.o, a.c), c := x.c) END) AS z FROM s),
 k AS (SELECT doc_id, CASE WHEN z.c = '' THEN z.o ELSE list_append(z.o, z.c) END AS chunks FROM f)"""
+_WIDE_CHUNKS = f"""WITH RECURSIVE {_SENTENCES}, zh AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '[一-鿿]')),
+w AS (SELECT doc_id, text, 0 AS i, 1 AS a, 1 AS b FROM zh WHERE text <> '' UNION ALL
+  SELECT doc_id, text, i + 1, b, CASE WHEN regexp_matches(substr(text, b + 200, 50), '[。！？\\n]') THEN b + 200 + length(regexp_extract(substr(text, b + 200, 50), '(?s)^[^。！？\\n]*[。！？\\n]')) ELSE b + 250 END FROM w WHERE b <= length(text)),
+q AS (SELECT doc_id, list(substr(text, a, b - a) ORDER BY i) AS chunks FROM w WHERE i > 0 GROUP BY doc_id),
+every AS (SELECT doc_id, chunks FROM q UNION ALL SELECT doc_id, chunks FROM k WHERE doc_id NOT IN (SELECT doc_id FROM zh))
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, CASE WHEN i < len(chunks) THEN {_stripped("chunks[i] || ' ' || left(chunks[i + 1], 50)")} ELSE chunks[i] END AS chunk FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM every)"""
+_MARKDOWN = rf"""WITH a AS (SELECT doc_id, regexp_replace(text, '(?m)^\s{{0,3}}(?:#{{1,6}}\s+|>\s?|[-*+]\s+|\d+\.\s+|```.*$|[-*_]{{3,}}\s*$)', '', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\*\*|__|`', '', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/title)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM b),
+d AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM c),
+l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\r\n|[\n\x0b\f\r\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {_stripped('x')}), lambda x: x <> '') AS l FROM d)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)"""
 _UNITS = "x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, t, CAST(length(t) + CASE WHEN ends_with(t, chr(2)) THEN 0 ELSE 1 END AS BIGINT) AS n, {g} AS g FROM x)"
 _PACK = (
     "WITH "
@@ -205,14 +239,18 @@ SELECT qa_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS item FROM (SELECT qa_id, l,
     "text_md5": (text_md5, "SELECT doc_id, md5(array_slice(encode(text), 1, 1048576)) AS hash FROM documents"),
     "sentence_chunks": (sentence_chunks, f"WITH {_SENTENCES} SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, chunks[i] AS chunk FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM k)"),
     "sentence_chunks_overlap": (sentence_chunks_overlap, f"WITH {_SENTENCES} SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, CASE WHEN i < len(chunks) THEN {_stripped('''chunks[i] || ' ' || left(chunks[i + 1], 50)''')} ELSE chunks[i] END AS chunk FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM k)"),
-    "document_chunks": (document_chunks, None),
+    "document_chunks": (document_chunks, _WIDE_CHUNKS),
+    "bos_ids": (bos_ids, "SELECT doc_id, CAST(length(text) + 1 AS INTEGER) AS n, 1 AS first FROM documents WHERE text IS NOT NULL"),
+    "block_labels": (block_labels, "SELECT g, block, CAST(n AS BIGINT) AS real, total FROM (" + _PACK.format(g="CAST(0 AS BIGINT)") + ")"),
+    "loss_perplexity": (loss_perplexity, "SELECT l_orderkey, l_linenumber, round(exp(l_discount * 20), 6) AS perplexity FROM lineitem"),
+    "length_factor": (length_factor, "SELECT doc_id, CAST(ceil(n_chars / 512) AS DOUBLE) AS factor FROM documents"),
     "merged_lines": (
         merged_lines,
         f"""WITH l AS (SELECT DISTINCT art_id, line_id, {_stripped('text')} AS t FROM en_article_tail500 WHERE text IS NOT NULL), e AS (SELECT * FROM l WHERE t <> ''),
 g AS (SELECT *, coalesce(sum(CAST(strpos('{CH.LINE_ENDS.replace("'", "''")}', right(t, 1)) > 0 AS INT)) OVER (PARTITION BY art_id ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e)
 SELECT art_id, CAST(part AS BIGINT) AS part, string_agg(t, '' ORDER BY line_id) AS text FROM g GROUP BY art_id, part""",
     ),
-    "markdown_lines": (markdown_lines, None),
+    "markdown_lines": (markdown_lines, _MARKDOWN),
     "token_ids": (token_ids, "SELECT doc_id, CAST(length(text) AS INTEGER) AS n, CAST(coalesce(list_sum(list_transform(range(1, length(text) + 1), lambda i: unicode(substr(text, i, 1)))), 0) AS BIGINT) AS total FROM documents WHERE text IS NOT NULL"),
     "padded_blocks": (padded_blocks, "SELECT doc_id, 256 AS n, CAST(coalesce(list_sum(list_transform(range(1, least(length(text), 256) + 1), lambda i: unicode(substr(text, i, 1)))), 0) AS BIGINT) AS total, CAST(least(length(text), 256) AS BIGINT) AS real, CAST((length(text) + 3) // 4 * 4 AS INTEGER) AS multiple FROM documents WHERE text IS NOT NULL"),
     "pack_blocks": (pack_blocks, _PACK.format(g="CAST(0 AS BIGINT)")),
