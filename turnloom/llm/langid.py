@@ -223,16 +223,16 @@ def vectors(s: Sentences, of: np.ndarray, count: int) -> tuple[np.ndarray, np.nd
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     times = np.diff(np.append(first, len(key))).astype(np.float32)
     key = key[first].astype(np.int64)
-    return key // DIMENSIONS, key % DIMENSIONS, times
+    return key >> DIMENSIONS.bit_length() - 1, key & DIMENSIONS - 1, times
 
 
 class Model:
-    """IDF and centroids; ``weight`` has the centroids times IDF, a column each.  ``wide``: by language, whether its samples
+    """IDF and centroids; ``weight`` has the centroids times IDF, a row each.  ``wide``: by language, whether its samples
     are written in a wide script; sentences are compared with languages of their kind of script only."""
 
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, of: np.ndarray, wide: np.ndarray):
         self.idf, self.of, self.wide = idf, of, wide
-        self.weight = np.ascontiguousarray((centroids * idf).T.astype(np.float32))
+        self.weight = np.ascontiguousarray((centroids * idf).astype(np.float32))
 
     def similarity(self, s: Sentences, pick: np.ndarray) -> np.ndarray:
         """Cosine of the picked sentences with the nearest centroid of every language."""
@@ -244,7 +244,12 @@ class Model:
             return out
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         norm = np.sqrt(np.add.reduceat((times * self.idf[dim]) ** 2, first))
-        dots = np.add.reduceat(self.weight[dim] * times[:, None], first, axis=0) / np.maximum(norm, 1e-9)[:, None]
+        dots = np.empty((len(first), len(self.of)), np.float32)
+        for k, column in enumerate(self.weight):  # a column at a time stays in the cache
+            part = column[dim]
+            part *= times
+            dots[:, k] = np.add.reduceat(part, first)
+        dots /= np.maximum(norm, 1e-9)[:, None]
         for k in np.unique(self.of).tolist():
             out[row[first], k] = dots[:, self.of == k].max(1)
         out[(s.wide[pick] * 2 > s.letters[pick])[:, None] != self.wide[None, :]] = 0
