@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -350,15 +350,17 @@ def answered(found: DataFrame, replies: DataFrame, text: str) -> DataFrame:
     nothing was asked."""
     found = cut(found.withColumn("q", F.xxhash64("question")))
     asked = found.where("question is not null").select("q", "question").dropDuplicates(["q"])
-    each = cut(asked.select("q", "question", F.explode(F.array_distinct("question")).alias("id")).where("id <> 0").select("q", "id"))
-    counts = context_counts(replies, text, each.select("id"))
+    each = cut(asked.select("q", F.explode(F.array_distinct("question")).alias("id")).where(~F.col("id").isin(0, _ALL)))
+    every = each.sparkSession.range(_ALL, _ALL + 1).select("id")
+    counts = cut(context_counts(replies, text, each.select("id").unionByName(every)))
+    total = counts.where(F.col("id") == _ALL).select("n").first()  # of all questions the same
     facts = each.join(counts, "id").groupBy("q").agg(F.collect_list(F.struct("id", "n", "stops")).alias("facts"))
-    said = map_batches(asked.join(facts, "q", "left"), _answers, "q bigint, whole boolean")
+    said = map_batches(asked.join(facts, "q", "left"), partial(_answers, total=total.n if total else 0), "q bigint, whole boolean")
     return found.drop("question").join(said, "q", "left").drop("q")
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, facts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        said = [whole(i, {f["id"]: (f["n"], f["stops"]) for f in known or ()}) for i, known in zip(ids, facts, strict=True)]
+        said = [whole(i, {_ALL: (total, 0)} | {f["id"]: (f["n"], f["stops"]) for f in known or ()}) for i, known in zip(ids, facts, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.bool_())], names=["q", "whole"])
