@@ -97,3 +97,16 @@ def test_missing_library_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="docx"):
         read_documents(spark, str(tmp_path)).collect()
     assert read_documents(spark, str(tmp_path), skip=True).count() == 1
+
+
+def test_carried_over_ranges(spark):
+    from turnloom.operators.conversations import carried_forward
+
+    rows = [(c, t, "human" if c % 9 == 0 and t == 0 else "gpt", f"{c}.{t}") for c in range(2, 90) for t in range(3)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").repartition(5)
+    want, last = [], None
+    for c, t, role, text in sorted(rows):
+        last = text if role == "human" else last
+        if role == "gpt" and last is not None:
+            want.append((c, t, last, text))
+    assert sorted(tuple(r) for r in carried_forward(df, across=True).collect()) == want

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.text import strip, tidy_reply
 from turnloom.functions.tools import format_call_value, format_observation
+from turnloom.operators.sampling import in_ranges
 
 # Roles as they are written, and what they become.
 USERS = ("human", "user", "observation")
@@ -112,10 +113,18 @@ def dialog_prompts(dialog: DataFrame) -> DataFrame:
 
 def carried_forward(turns: DataFrame, across: bool = False) -> DataFrame:
     """``conv_id, turn, question, answer``: each gpt turn with the last human turn before it.  ``across`` looks back over
-    earlier conversations too, in order of ``conv_id``; that needs one order of all rows, so it is for small tables."""
-    w = Window.orderBy("conv_id", "turn") if across else Window.partitionBy("conv_id").orderBy("turn")
-    asked = F.last(F.when(F.col("role") == "human", F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return turns.withColumn("question", asked).where("role = 'gpt' and question is not null").select("conv_id", "turn", "question", F.col("text").alias("answer"))
+    earlier conversations too, in order of ``conv_id``: within ranges of that order first, then from range to range."""
+    said = F.when(F.col("role") == "human", F.col("text"))
+    asked = lambda w: F.last(said, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if not across:
+        rows = turns.withColumn("question", asked(Window.partitionBy("conv_id").orderBy("turn")))
+    else:
+        rows = in_ranges(turns, "conv_id", "turn")
+        ends = rows.groupBy("_b").agg(F.max_by(said, F.when(said.isNotNull(), F.col("_nth"))).alias("_last"))
+        before = F.last("_last", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+        rows = rows.withColumn("question", asked(Window.partitionBy("_b").orderBy("_nth"))).join(F.broadcast(ends.select("_b", before.alias("_before"))), "_b")
+        rows = rows.withColumn("question", F.coalesce("question", "_before"))
+    return rows.where("role = 'gpt' and question is not null").select("conv_id", "turn", "question", F.col("text").alias("answer"))
 
 
 def last_answer_replaced(pairs: Column, text: Column) -> Column:
