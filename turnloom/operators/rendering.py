@@ -73,6 +73,12 @@ def register_template(t: Template) -> None:
     _REGISTRY[t.name] = t
 
 
+def forget_template(name: str) -> None:
+    """Undoes ``register_template``; the published templates stay."""
+    if name not in {t.name for t in TEMPLATES}:
+        _REGISTRY.pop(name, None)
+
+
 def template(name: str, strict: bool = False) -> Template:
     """By name; an unknown one is an error.  ``strict`` gives the one template that is published with a placeholder that
     is no placeholder, so that its prompts drop the question, as it is."""

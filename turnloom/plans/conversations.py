@@ -230,10 +230,11 @@ def calls_read_back(spark, d):
 
 
 def own_template(spark, d):
-    """Questions in a template of the user's own."""
+    """Questions in a template of the user's own, which is known only as long as it is asked for."""
     R.register_template(R.Template("own_plain", "Q: {query}\nA:", "\n", "Be brief.", "Q:"))
-    qa = table(spark, d, "qa_sample").dropDuplicates(["qa_id"])
-    return qa.select("qa_id", R.single_turn(F.col("question"), "own_plain").alias("prompt"))
+    prompt = R.single_turn(F.col("question"), "own_plain")
+    R.forget_template("own_plain")
+    return table(spark, d, "qa_sample").dropDuplicates(["qa_id"]).select("qa_id", prompt.alias("prompt"))
 
 
 def react_parse(spark, d):
