@@ -57,7 +57,7 @@ _MISSING = re.compile(
 #: More letters than the longest of them has, but for filler text; and any letter.
 _MORE = re.compile(r"(?![\W_]*lorem\s+ipsum)(?:[\W_]*[^\W_]){41}", re.I)
 _SOME = re.compile(r"[^\W_]")
-_EDGES = " \t()（）[]【】{}<>\"'“”‘’「」.。*_-—~!！?？:：|/\\#`=+,，"
+_EDGES = " \t()（）[]【】{}<>\"'“”‘’「」.。*_-—~!！?？:：|/\\#`=+,，;；、"
 
 
 def plain(text: str) -> str:
